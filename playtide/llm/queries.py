@@ -6,6 +6,7 @@ import importlib
 
 _QUERIES = {
     "op4_simhash_dedup": "simhash",
+    "op6_substring_dedup": "substrings",
 }
 
 
@@ -14,4 +15,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from playtide.llm.substrings import ORACLE as op6
+
+    return {"op6_substring_dedup": op6}
