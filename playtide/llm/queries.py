@@ -5,6 +5,8 @@ from __future__ import annotations
 import importlib
 
 _QUERIES = {
+    "op1_quality_rules": "quality_rules",
+    "op2_language_id": "language_id",
     "op4_simhash_dedup": "simhash",
     "op6_substring_dedup": "substrings",
 }
