@@ -7,6 +7,7 @@ import importlib
 _QUERIES = {
     "op1_quality_rules": "quality_rules",
     "op2_language_id": "language_id",
+    "op3_orc_tokens": "orc_tokens",
     "op4_simhash_dedup": "simhash",
     "op6_substring_dedup": "substrings",
 }
