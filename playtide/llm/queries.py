@@ -9,6 +9,7 @@ _QUERIES = {
     "op2_language_id": "language_id",
     "op3_orc_tokens": "orc_tokens",
     "op4_simhash_dedup": "simhash",
+    "op5_bin_completion": "packing",
     "op6_substring_dedup": "substrings",
 }
 
