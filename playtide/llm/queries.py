@@ -11,6 +11,7 @@ _QUERIES = {
     "op4_simhash_dedup": "simhash",
     "op5_bin_completion": "packing",
     "op6_substring_dedup": "substrings",
+    "op7_bpe_replay": "bpe_replay",
 }
 
 
