@@ -69,7 +69,7 @@ def rolling(h: np.ndarray, width: int) -> np.ndarray:
 class Windows:
     """All windows of a batch of texts, with their leading k-grams."""
 
-    def __init__(self, docs: list[list[bytes]], width: int, k: int):
+    def __init__(self, docs: list[list[bytes]], width: int, k: int, hashes: bool = True):
         digest = xxhash.xxh3_64_intdigest
         self.counts = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs))
         self.words = np.array([digest(w) for d in docs for w in d], dtype=np.uint64)
@@ -94,7 +94,7 @@ class Windows:
         right = low[b] < low[a]
         self.lead = np.where(right, arg[b], arg[a])
         self.key = grams[self.lead]
-        self.hash = rolling(mixed, width)[self.at]
+        self.hash = rolling(mixed, width)[self.at] if hashes else None
 
 
 def _split(batch: pa.RecordBatch) -> list[list[bytes]]:
@@ -107,14 +107,19 @@ def _leading(docs: DataFrame, width: int, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches):
-            w = Windows(_split(batch), width, k)
-            pairs = np.unique(np.stack([w.doc.astype(np.uint64), w.key, w.lead.astype(np.uint64)], axis=1), axis=0) if len(w.doc) else np.zeros((0, 3), np.uint64)
-            new = np.ones(len(pairs), dtype=bool)
-            new[1:] = (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)
+            w = Windows(_split(batch), width, k, hashes=False)
+            # the leading place never moves back as the window moves on, so its runs are its distinct values
+            new = np.ones(len(w.doc), dtype=bool)
+            new[1:] = w.lead[1:] != w.lead[:-1]
+            doc, key = w.doc[new], w.key[new]
+            order = np.lexsort((key, doc))
+            doc, key = doc[order], key[order]
+            new = np.ones(len(doc), dtype=bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
             cuts = np.flatnonzero(new)
-            n = np.diff(np.append(cuts, len(pairs)))
+            n = np.diff(np.append(cuts, len(doc)))
             ids = batch.column("doc_id").to_numpy()
-            yield record_batch(schema, {"doc_id": ids[pairs[cuts, 0].astype(np.int64)], "key": pairs[cuts, 1].view(np.int64), "n": n})
+            yield record_batch(schema, {"doc_id": ids[doc[cuts]], "key": key[cuts].view(np.int64), "n": n})
 
     return docs.mapInArrow(run, "doc_id long, key long, n long")
 
