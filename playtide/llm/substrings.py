@@ -32,6 +32,7 @@ from playtide.llm.common import chunked, ragged_take, read_table, record_batch,
 
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 _ALL = np.uint64((1 << 40) - 1)
+_NO_ID = -(1 << 63)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -268,18 +269,25 @@ def _trees(suffixes: DataFrame, width: int, budget: int) -> DataFrame:
     return suffixes.repartition("route").sortWithinPartitions("route").mapInArrow(run, "doc_id long, pos long, mask long")
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text) dealt by id.  A null id gets a number of its own, so that an inner and a left
+    join read the very same exchange and the texts are shuffled once for both."""
+    return take(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID))).repartition("doc_id")
+
+
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, k: int = 6, budget: int = 50_000) -> DataFrame:
     """(doc_id, pos, mask): the windows that occur anywhere else; bit b stands for the one at pos + b.
 
-    budget: suffix rows a task holds at once; a prefix with more is lengthened.  ids must be distinct.
+    budget: suffix rows a task holds at once; a prefix with more is lengthened.  Rows of one id
+    must have one text.
     """
     if width - k + 1 > 63 or width <= k:
         raise ValueError("width must exceed k, by less than 63")
-    base = take(docs, id_col, text_col)
-    lead = _leading(base, width, k)
+    keyed = _keyed(docs, id_col, text_col)
+    lead = _leading(take(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID))), width, k)
     common = lead.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key", (F.col("n") > budget).alias("hot"))
     live = lead.select("doc_id", "key").join(common, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "hot")).alias("live"))
-    joined = base.repartition("doc_id").join(live, "doc_id").select("doc_id", "text", F.col("live.key").alias("keys"), F.col("live.hot").alias("hot"))
+    joined = keyed.join(live, "doc_id").select("doc_id", "text", F.col("live.key").alias("keys"), F.col("live.hot").alias("hot"))
     return _trees(_suffixes(joined, width, k), width, budget)
 
 
@@ -295,9 +303,8 @@ def removed_words(n: int, pos: list[int], mask: list[int], width: int) -> np.nda
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, k: int = 6, budget: int = 50_000) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept has the words left, joined by one space."""
-    base = take(docs, id_col, text_col)
     found = repeated_windows(docs, id_col, text_col, width, k, budget).groupBy("doc_id").agg(F.collect_list("pos").alias("pos"), F.collect_list("mask").alias("mask"))
-    joined = base.repartition("doc_id").join(found, "doc_id", "left")
+    joined = _keyed(docs, id_col, text_col).join(found, "doc_id", "left").withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
