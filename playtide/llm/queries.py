@@ -12,6 +12,7 @@ _QUERIES = {
     "op5_bin_completion": "packing",
     "op6_substring_dedup": "substrings",
     "op7_bpe_replay": "bpe_replay",
+    "op8_jpeg_media": "jpeg",
 }
 
 
