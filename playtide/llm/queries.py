@@ -13,6 +13,7 @@ _QUERIES = {
     "op6_substring_dedup": "substrings",
     "op7_bpe_replay": "bpe_replay",
     "op8_jpeg_media": "jpeg",
+    "op10_warc_merge": "warc",
 }
 
 
@@ -22,5 +23,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     from playtide.llm.substrings import ORACLE as op6
+    from playtide.llm.warc import ORACLE as op10
 
-    return {"op6_substring_dedup": op6}
+    return {"op6_substring_dedup": op6, "op10_warc_merge": op10}
