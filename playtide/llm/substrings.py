@@ -324,6 +324,37 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
+def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, width: int = 35) -> DataFrame:
+    """docs with the repeated words gone from text_col, all other columns as they were.
+
+    Texts that lose no word keep their white space too; length_col, if named, gets the code
+    points of a changed text.
+    """
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("__id")
+    found = repeated_windows(docs, id_col, text_col, width).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("pos").alias("__pos"), F.collect_list("mask").alias("__mask"))
+    joined = docs.select("*", key).repartition("__id").join(found, "__id", "left").drop("__id")
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunked(batches, column=text_col):
+            out = []
+            lengths = batch.column(length_col).to_pylist() if length_col else []
+            for i, (t, pos, mask) in enumerate(zip(batch.column(text_col).to_pylist(), batch.column("__pos").to_pylist(), batch.column("__mask").to_pylist(), strict=True)):
+                if pos:
+                    words = t.encode().split()
+                    gone = removed_words(len(words), pos, mask, width)
+                    t = b" ".join(words[j] for j in np.flatnonzero(~gone).tolist()).decode()
+                    if length_col:
+                        lengths[i] = len(t)
+                out.append(t)
+            columns = {n: batch.column(n) for n in names} | {text_col: pa.array(out, type=batch.column(text_col).type)}
+            if length_col:
+                columns[length_col] = pa.array(lengths, type=batch.column(length_col).type)
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+
+    return joined.mapInArrow(run, docs.schema)
+
+
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
