@@ -34,10 +34,11 @@ def _tokenizer() -> str:
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end: int = END) -> DataFrame:
     """(doc_id, ids): the ids of each text with the end id.  tokenizer: a file every executor has."""
     path = tokenizer or _tokenizer()
+    lowers = tokenizer is None  # the default one lower-cases and drops white space
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(path)
+        encoder = PieceEncoder.shared(path, fold=lowers)
         for batch in chunked(batches):
             ids, n = encoder.encode([t or "" for t in batch.column("text").to_pylist()], end)
             offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)

@@ -43,7 +43,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacit
     schema = pa.schema([(n, pa.int32() if n == "piece" else pa.int64()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(path)
+        encoder = PieceEncoder.shared(path)
         for batch in chunked(batches):
             ids, n = encoder.encode([t or "" for t in batch.column("text").to_pylist()], end)
             raw = ids.astype("<u4").tobytes()

@@ -1,9 +1,11 @@
-"""Encoding with the tokenizers library, one distinct piece of text once a task.
+"""Encoding with the tokenizers library, each distinct run of characters once a worker.
 
 A text is cut before a space that a non-blank character follows.  No token of the vocabularies
 used here spans such a cut (their patterns match white space at the start of a token only), so
-the ids of a text are those of its pieces, one after another; pieces recur, and each distinct
-one is encoded once and then looked up.
+the ids of a text are those of its pieces, one after another.  Pieces of Latin text without
+apostrophes are cut further, between letters, digits and the rest, where those patterns end a
+token too.  What is left recurs a lot: each distinct run is given to the library once and then
+looked up, in tables of bounded size that a worker keeps from task to task.
 """
 
 from __future__ import annotations
@@ -16,60 +18,141 @@ import numpy as np
 from playtide.llm.common import ragged_take
 
 _CUT = re.compile(r" (?=\S)")
+#: Pieces that may be cut further: below U+0250 composed forms are stable; single line ends only.
+_LATIN = re.compile("[!-&(-~\xa1-ɏ]+(?:\n[!-&(-~\xa1-ɏ]+)*\n?")
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_DIGITS = "0-9²³¹¼-¾"
+_RUNS = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]+|[^{_LETTERS}{_DIGITS}]+")
+
+
+class _Numbers(dict):
+    """Numbers strings as they are first met, and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
+class _Lists:
+    """Growing lists of numbers, one after another in one array."""
+
+    def __init__(self):
+        self.flat = np.zeros(1 << 16, dtype=np.int32)
+        self.starts = np.zeros(1 << 14, dtype=np.int64)
+        self.counts = np.zeros(1 << 14, dtype=np.int32)
+        self.used = self.rows = 0
+
+    def add(self, flat: list[int], counts: list[int]) -> None:
+        n = np.array(counts, dtype=np.int64)
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while self.rows + len(n) > len(self.starts):
+            self.starts, self.counts = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.counts))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.starts[self.rows : self.rows + len(n)] = self.used + np.cumsum(n) - n
+        self.counts[self.rows : self.rows + len(n)] = n
+        self.used += len(flat)
+        self.rows += len(n)
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.counts[rows].astype(np.int64)
+        return self.flat[ragged_take(self.starts[rows], n)], n
 
 
 class PieceEncoder:
-    """Ids of whole texts; remembers at most `limit` distinct pieces."""
+    """Ids of whole texts.  fold: the tokenizer lower-cases and drops white space."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    _kept: dict = {}
+
+    def __init__(self, path: str, fold: bool = False, pieces: int = 400_000, runs: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.limit = limit
-        self._forget()
+        self.fold, self.limits = fold, (pieces, runs)
+        self._forget_pieces()
+        self._forget_runs()
 
-    def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, dtype=np.int32)
-        self.starts = np.zeros(1 << 14, dtype=np.int64)
-        self.counts = np.zeros(1 << 14, dtype=np.int64)
-        self.used = 0
-
-    def _learn(self, pieces: list[str]) -> None:
-        for i in range(0, len(pieces), 10_000):
-            part = pieces[i : i + 10_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            n = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            total, have = int(n.sum()), len(self.number)
-            while self.used + total > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            while have + len(part) > len(self.starts):
-                self.starts, self.counts = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.counts))
-            self.ids[self.used : self.used + total] = np.fromiter((t for f in found for t in f), dtype=np.int32, count=total)
-            self.starts[have : have + len(part)] = self.used + np.cumsum(n) - n
-            self.counts[have : have + len(part)] = n
-            self.used += total
-            self.number.update(zip(part, range(have, have + len(part)), strict=True))
+    @classmethod
+    def shared(cls, path: str, fold: bool = False) -> PieceEncoder:
+        """The encoder of this worker process."""
+        if (path, fold) not in cls._kept:
+            cls._kept.clear()
+            cls._kept[path, fold] = cls(path, fold)
+        return cls._kept[path, fold]
+
+    def _forget_pieces(self) -> None:
+        self.pieces, self.runs_of = _Numbers(), _Lists()
+
+    def _forget_runs(self) -> None:
+        self.runs, self.ids_of = _Numbers(), _Lists()
+
+    def _cut_runs(self, key: str) -> list[str]:
+        """A piece's runs.  A key that starts with a line end is a text's beginning; others follow a space."""
+        first = key[0] == "\n"
+        text = key[1:] if first else key
+        if not _LATIN.fullmatch(text):
+            return [text if first else " " + text]
+        if self.fold:
+            text = text.lower()
+            return [text] if text.isalpha() else _RUNS.findall(text)
+        runs = [text] if text.isalpha() else _RUNS.findall(text)
+        if not first:
+            runs[0] = " " + runs[0]
+        return runs
+
+    def _learn(self) -> None:
+        number = self.runs.__getitem__
+        flat: list[int] = []
+        counts: list[int] = []
+        for key in self.pieces.new:
+            runs = self._cut_runs(key)
+            flat += map(number, runs)
+            counts.append(len(runs))
+        self.runs_of.add(flat, counts)
+        self.pieces.new = []
+        new = self.runs.new
+        for i in range(0, len(new), 10_000):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(new[i : i + 10_000], add_special_tokens=False)]
+            self.ids_of.add([t for f in found for t in f], list(map(len, found)))
+        self.runs.new = []
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's closed by `end`, and how many each text has."""
-        pieces: list[str] = []
-        sizes = np.zeros(len(texts), dtype=np.int64)
+        if len(self.runs) > self.limits[1]:
+            self._forget_runs()
+            self._forget_pieces()
+        elif len(self.pieces) > self.limits[0]:
+            self._forget_pieces()
+        number = self.pieces.__getitem__
+        parts, sizes = [], np.zeros(len(texts), dtype=np.int64)
         for i, t in enumerate(texts):
-            first, *rest = _CUT.split(t)
-            if first:
-                pieces.append(first)
-            pieces += [" " + p for p in rest]
-            sizes[i] = len(rest) + bool(first)
-        if len(self.number) > self.limit:
-            self._forget()
-        self._learn([p for p in dict.fromkeys(pieces) if p not in self.number])
-        at = np.fromiter(map(self.number.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-        n = self.counts[at]
-        flat = self.ids[ragged_take(self.starts[at], n)]
-        ends = np.concatenate(([0], np.cumsum(n)))
+            if t:
+                pieces = _CUT.split(t)
+                if pieces[0]:
+                    pieces[0] = "\n" + pieces[0]
+                else:
+                    del pieces[0]
+                sizes[i] = len(pieces)
+                parts.append(np.fromiter(map(number, pieces), dtype=np.int32, count=len(pieces)))
+        self._learn()
+        runs, n = self.runs_of.take(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32))
+        ids, m = self.ids_of.take(runs)
+        per_piece = np.concatenate(([0], np.cumsum(n)))
+        per_run = np.concatenate(([0], np.cumsum(m)))
         stops = np.cumsum(sizes)
-        per = ends[stops] - ends[stops - sizes]
-        return np.insert(flat, np.cumsum(per), end).astype(np.int32), per + 1
+        cuts = per_run[per_piece[stops]]
+        per = cuts - per_run[per_piece[stops - sizes]]
+        out = np.empty(len(ids) + len(texts), dtype=np.int32)
+        closed = np.cumsum(per + 1) - 1
+        inside = np.ones(len(out), dtype=bool)
+        inside[closed] = False
+        out[inside] = ids
+        out[closed] = end
+        return out, per + 1

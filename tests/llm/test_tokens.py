@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from playtide.llm import orc_tokens
 from playtide.llm.tokens import PieceEncoder
 
-NASTY = ["", " ", "  ", "a  b", " a", "a ", "a\n b", "a \n  b\t c", "x  y", "  z", "\x1c q", "it's  we'll", "<|endoftext|> <|startoftext|> </w>", "é é  ́x", "日本 語  😀 \n\n\n k", "A​ B", "Σίσυφος ΣΑΣ", "a\x00 b", "\r\n \r\n x", "ﬁ ½ ² İ", "   lead", "trail   ", "tab\t\tx  \ty"]
+NASTY = ["", " ", "  ", "a  b", " a", "a ", "a\n b", "a \n  b\t c", "x  y", "  z", "\x1c q", "it's  we'll", "<|endoftext|> <|startoftext|> </w>", "é é  ́x", "日本 語  😀 \n\n\n k", "A​ B", "Σίσυφος ΣΑΣ", "a\x00 b", "\r\n \r\n x", "ﬁ ½ ² İ", "   lead", "trail   ", "tab\t\tx  \ty", "ab.\nCd", "ab.\n\nCd", "x\n-y z\n", "\nab c", "12a3,b4 ½x", "don't a'b", "É.É ÀB­c", "ab.\n cd", "İx ŉ ǅ", "a\u0301.b e\u0301"]
 
 
 def fuzz(n):
@@ -28,7 +28,7 @@ def test_pieces_give_the_library_s_ids(name, corpus):
     texts = [x or "" for _, x in corpus] + NASTY + fuzz(3000)
     want = [e.ids + [7] for e in t.encode_batch(texts, add_special_tokens=False)]
     for limit in (400_000, 5):
-        encoder = PieceEncoder(path, limit)
+        encoder = PieceEncoder(path, name.startswith("word"), limit, 3 * limit)
         got = []
         for i in range(0, len(texts), 500):
             ids, n = encoder.encode(texts[i : i + 500], 7)
