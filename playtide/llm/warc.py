@@ -39,12 +39,15 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """(page_id, url, html, digest, size, refers_to): refers_to is null for responses.
 
     Digests are grouped with the smallest id first; only ids and digests are shuffled for that.
+    Runs that job at once.
     """
     url = F.col(url_col).cast("string") if url_col else F.lit(None).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     sized = rows.select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"), F.octet_length("html").cast("long").alias("size"))
     first = sized.filter(F.col("size") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     shared = sized.filter(F.col("size") >= LEAST).join(first, "digest").filter("page_id > first").select("page_id", "first").distinct()
+    # stored first, so that its size is known: while it is small Spark broadcasts it and pages stay where they are
+    shared = materialise(shared, "revisits")
     marked = rows.join(shared, "page_id", "left")
     again = (F.octet_length("html") >= LEAST) & F.col("first").isNotNull()
     return marked.select("page_id", "url", "html", F.sha2(F.col("html").cast("binary"), 256).alias("digest"), F.octet_length("html").cast("long").alias("size"), F.when(again, F.col("first")).alias("refers_to"))
