@@ -98,21 +98,26 @@ def within_edits(a: Column, b: Column, limit: Column | int) -> Column:
     return F.levenshtein(a, b) <= limit
 
 
+def utc(uts: Column) -> Column:
+    """Epoch seconds as a UTC wall clock, whatever the session's time zone."""
+    return F.timestamp_add("SECOND", uts, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def month(uts: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(uts), "yyyy-MM")
+    return F.date_format(utc(uts), "yyyy-MM")
 
 
 def month_name(uts: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(uts), "MMM yyyy")
+    return F.date_format(utc(uts), "MMM yyyy")
 
 
 def minute_stamp(uts: Column) -> Column:
-    return F.concat(F.date_format(F.timestamp_seconds(uts), "yyyy-MM-dd HH:mm"), F.lit(" UTC"))
+    return F.concat(F.date_format(utc(uts), "yyyy-MM-dd HH:mm"), F.lit(" UTC"))
 
 
 def hour_stamp(hour: Column) -> Column:
     """Label of an hour number (epoch seconds over 3600)."""
-    return F.date_format(F.timestamp_seconds(hour * 3600), "yyyy-MM-dd HH:00")
+    return F.date_format(utc(hour * 3600), "yyyy-MM-dd HH:00")
 
 
 def query_escape(text: Column) -> Column:
