@@ -1,4 +1,6 @@
 """All queries of the library, by name, with the SQL that says the same."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from playtide.plans.oracles import SQL as ORACLES
+from playtide.plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
