@@ -22,6 +22,8 @@ _CUT = re.compile(r" (?=\S)")
 _LATIN = re.compile("[!-&(-~\xa1-ɏ]+(?:\n[!-&(-~\xa1-ɏ]+)*\n?")
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _DIGITS = "0-9²³¹¼-¾"
+#: White space to Python alone.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 _RUNS = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]+|[^{_LETTERS}{_DIGITS}]+")
 
 
@@ -93,6 +95,16 @@ class PieceEncoder:
     def _forget_runs(self) -> None:
         self.runs, self.ids_of = _Numbers(), _Lists()
 
+    def _pieces(self, text: str) -> list[str]:
+        if self.fold and not _SEPARATORS.search(text):  # every white space ends a token and is dropped
+            return (text.lower() if text.isascii() else text).split()
+        pieces = _CUT.split(text)
+        if pieces[0]:
+            pieces[0] = "\n" + pieces[0]
+        else:
+            del pieces[0]
+        return pieces
+
     def _cut_runs(self, key: str) -> list[str]:
         """A piece's runs.  A key that starts with a line end is a text's beginning; others follow a space."""
         first = key[0] == "\n"
@@ -134,11 +146,7 @@ class PieceEncoder:
         parts, sizes = [], np.zeros(len(texts), dtype=np.int64)
         for i, t in enumerate(texts):
             if t:
-                pieces = _CUT.split(t)
-                if pieces[0]:
-                    pieces[0] = "\n" + pieces[0]
-                else:
-                    del pieces[0]
+                pieces = self._pieces(t)
                 sizes[i] = len(pieces)
                 parts.append(np.fromiter(map(number, pieces), dtype=np.int32, count=len(pieces)))
         self._learn()
