@@ -123,7 +123,12 @@ class PieceEncoder:
         number = self.runs.__getitem__
         flat: list[int] = []
         counts: list[int] = []
+        lead = "" if self.fold else " "
         for key in self.pieces.new:
+            if key.isascii() and key.isalpha():  # most are: a single run
+                flat.append(number(lead + (key.lower() if self.fold else key)))
+                counts.append(1)
+                continue
             runs = self._cut_runs(key)
             flat += map(number, runs)
             counts.append(len(runs))
