@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from playtide.functions import eras, strings, titles
 
@@ -15,7 +16,15 @@ KEYS = (
 )
 
 
-@F.pandas_udf(KEYS)
+_TYPES = {"string": T.StringType(), "boolean": T.BooleanType(), "double": T.DoubleType(), "array<string>": T.ArrayType(T.StringType())}
+
+
+def fields(spec: str) -> T.StructType:
+    """A struct type from "name type, ..."; unlike a DDL string it needs no session at import."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split(" ") for c in spec.split(", "))])
+
+
+@F.pandas_udf(fields(KEYS))
 def _keys(artist: pd.Series, album: pd.Series, track: pd.Series) -> pd.DataFrame:
     def of(a: str, b: str, t: str) -> tuple:
         e = eras.parse(b)
@@ -38,7 +47,7 @@ def with_keys(cells: DataFrame) -> DataFrame:
 def _text_udf(fn, kind: str = "string"):
     """An Arrow UDF that computes each distinct string of a batch once."""
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf(_TYPES[kind])
     def run(values: pd.Series) -> pd.Series:
         known = {v: fn(v) for v in values.unique()}
         return values.map(lambda v: known[v]) if len(values) else pd.Series([], dtype=object)
@@ -60,7 +69,7 @@ redact = _text_udf(lambda v: None if v is None else strings.redact(v))
 
 
 def _pair_udf(fn, kind: str):
-    @F.pandas_udf(kind)
+    @F.pandas_udf(_TYPES[kind])
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([fn(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
@@ -75,12 +84,12 @@ differs_only_by_version = _pair_udf(titles.differs_only_by_version, "boolean")
 digits_only_differ = _pair_udf(strings.digits_only_differ, "boolean")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(_TYPES["boolean"])
 def plausible_pre_release(earlier: pd.Series, later: pd.Series, track: pd.Series) -> pd.Series:
     return pd.Series([titles.plausible_pre_release(a or "", b or "", t or "") for a, b, t in zip(earlier, later, track, strict=True)])
 
 
-@F.pandas_udf("struct<kind string, head string, parts array<string>>")
+@F.pandas_udf(fields("kind string, head string, parts array<string>"))
 def artist_credit(artist: pd.Series) -> pd.DataFrame:
     rows = [(titles.artist_credit(a or ""), titles.artist_head(a or ""), titles.artist_parts(a or "")) for a in artist]
     return pd.DataFrame(rows, columns=["kind", "head", "parts"])

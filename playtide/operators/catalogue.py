@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from playtide.functions import keys
-from playtide.functions.strings import norm_title
 
 ALBUM_FIELDS = ("rg_id", "title", "primary", "secondary", "first_release", "status", "source")
 
@@ -107,5 +106,3 @@ def estimate_split(strategy: DataFrame, pages: int = 1) -> DataFrame:
     return d.withColumn("seconds", F.col("calls"))
 
 
-def blank_title(title: str) -> bool:
-    return not norm_title(title)

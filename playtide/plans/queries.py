@@ -378,7 +378,7 @@ def chart_movers(spark, d):
 
 
 def _report(spark, d):
-    return report.analyse(source.lineitem_plays(spark, d), NOW, top_albums=source.top_albums(spark, d), persist=False)
+    return report.analyse(source.lineitem_plays(spark, d), NOW, top_albums=source.top_albums(spark, d))
 
 
 def analyse_issues(spark, d):
@@ -393,7 +393,7 @@ def resolved_issues(spark, d):
     rest = _rest(spark, d)
     found = albums.album_splits(rest).unionByName(artists.feature_credits(rest)).unionByName(albums.missing_albums(rest, source.lineitem_plays(spark, d).filter("album = ''")))
     exists = _part(spark, d).select(F.concat("p_brand", F.lit(" & Brand#1")).alias("artist"), (F.substring("p_brand", 7, 1) == "2").alias("exists")).distinct()
-    return resolve.resolve(found, _lookup(spark, d), exists)
+    return resolve.resolve(found.persist(), _lookup(spark, d), exists)
 
 
 QUERIES = {
