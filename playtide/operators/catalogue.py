@@ -68,7 +68,7 @@ def resolution_plan(cells: DataFrame, splits: DataFrame, blanks: DataFrame, budg
     jobs = jobs.select(*cols).unionByName(later(blanks, 1, "missing")).unionByName(later(era, 2, "era")).filter("artist <> '' AND track <> ''")
     one = jobs.groupBy("user", F.lower("artist").alias("a"), F.lower("track").alias("t")).agg(F.sum("plays").alias("plays"), F.min(F.struct("at", "artist", "track", "kind")).alias("head"))
     one = one.select("user", "head.artist", "head.track", "plays", "head.kind", F.col("head.at").alias("at"))
-    ids = cells.filter("first_artist_mbid IS NOT NULL").groupBy("user", "artist_key").agg(F.min("first_artist_mbid").alias("m")).select("user", "artist_key", F.col("m.artist_mbid").alias("artist_mbid"))
+    ids = cells.filter("artist_mbid <> ''").groupBy("user", "artist_key").agg(F.min_by("artist_mbid", "seq").alias("artist_mbid"))
     out = one.withColumn("artist_key", keys.norm("artist")).join(ids, ["user", "artist_key"], "left")
     place = F.row_number().over(Window.partitionBy("user").orderBy(F.desc("plays"), "at"))
     return out.withColumn("place", place).filter(F.col("place") <= budget).select("user", "artist", "track", "plays", "kind", "artist_mbid", "place")

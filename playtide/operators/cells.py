@@ -1,4 +1,4 @@
-"""The roll-up all detectors share: one row a user, artist, album and track.
+"""The roll-up all detectors share: a user's plays by artist, album, track and identifiers.
 
 Plays are summed with partial aggregation, so the log crosses the network once, as its distinct
 cells.  Comparison keys need Python; they are computed on the cells, never on the plays.
@@ -12,16 +12,19 @@ from pyspark.sql import functions as F
 from playtide.functions import keys
 
 
+IDS = ("artist_mbid", "album_mbid", "track_mbid")
+
+
 def cells_of(plays: DataFrame) -> DataFrame:
-    """(user, artist, album, track, plays, first_uts, last_uts, seq, MBID sets, first artist MBID)."""
-    ids = lambda c: F.collect_set(F.nullif(c, F.lit("")))
-    clean = [F.coalesce(c, F.lit("")).alias(c) for c in ("artist", "album", "track", "artist_mbid", "album_mbid", "track_mbid")]
-    rows = plays.select("user", "seq", "uts", *clean)
-    rolled = rows.groupBy("user", "artist", "album", "track").agg(
-        F.count("*").alias("plays"), F.min("uts").alias("first_uts"), F.max("uts").alias("last_uts"), F.min("seq").alias("seq"),
-        ids("artist_mbid").alias("artist_mbids"), ids("album_mbid").alias("album_mbids"), ids("track_mbid").alias("track_mbids"),
-        F.min(F.when(F.col("artist_mbid") != "", F.struct("seq", "artist_mbid"))).alias("first_artist_mbid"),
-    )
+    """(user, artist, album, track, MBIDs, plays, first_uts, last_uts, seq, keys): plays by name and identifiers.
+
+    A triple of names has a row for each combination of identifiers it was played with, few
+    as they are; only numbers are summed, so the aggregation stays in code-generated hash maps.
+    """
+    clean = [F.coalesce(c, F.lit("")).alias(c) for c in ("artist", "album", "track", *IDS)]
+    rolled = plays.select("user", "seq", "uts", *clean).groupBy("user", "artist", "album", "track", *IDS).agg(
+        F.count("*").alias("plays"), F.min("uts").alias("first_uts"), F.max("uts").alias("last_uts"), F.min("seq").alias("seq")
+    )
     return keys.with_keys(rolled)
 
 
@@ -60,7 +63,7 @@ def weak_era_candidates(cells: DataFrame, limit: int = 40) -> DataFrame:
 
 def id_sets(cells: DataFrame, column: str, *by: str) -> DataFrame:
     """Distinct identifiers of `column` under the keys `by`, as a set `ids`."""
-    return cells.select("user", *by, F.explode(column).alias("id")).distinct().groupBy("user", *by).agg(F.collect_set("id").alias("ids"))
+    return cells.filter(F.col(column) != "").select("user", *by, F.col(column).alias("id")).distinct().groupBy("user", *by).agg(F.collect_set("id").alias("ids"))
 
 
 def verdict(a: Column, b: Column) -> Column:

@@ -52,7 +52,7 @@ def era_flags(spark, d):
 
 
 def era_partition(spark, d):
-    return _cells(spark, d).select("user", "artist", "album", "track", "plays", "is_era")
+    return _cells(spark, d).groupBy("user", "artist", "album", "track", "is_era").agg(F.sum("plays").alias("plays"))
 
 
 def era_overview(spark, d):
