@@ -129,6 +129,13 @@ def hour_stamp(hour: Column) -> Column:
     return F.date_format(utc(hour * 3600), "yyyy-MM-dd HH:00")
 
 
+def explicit_era(album: Column) -> Column:
+    """eras.parse(album).explicit, built in: a strong marker, or a bracket that ends in a qualifier."""
+    space = strings.SPACE
+    words = "|".join(sorted(eras.QUALIFIERS, key=len, reverse=True))
+    return album.rlike(f"(?i){eras.STRONG}") | album.rlike(rf"(?i)[(\[](?:[^)\]]*[{space}])?(?:{words})[{space}]*[)\]]")
+
+
 def query_escape(text: Column) -> Column:
     """A phrase for a Lucene query: backslashes and quotes escaped."""
     return F.regexp_replace(text, r'([\\"])', r"\\$1")

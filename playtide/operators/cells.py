@@ -33,7 +33,9 @@ def partition_eras(cells: DataFrame, official: DataFrame | None = None) -> DataF
 
     official(artist_key, album_key) lists releases known to exist; a weak tag on one is a title.
     """
-    taggers = cells.filter("era_explicit").select("user", "artist_key").distinct().withColumn("tagger", F.lit(True))
+    # found with built-ins and the keys of the few artists concerned: the cells' own keys are computed once
+    named = cells.filter(keys.explicit_era(F.col("album"))).select("user", "artist").distinct()
+    taggers = named.select("user", keys.norm("artist").alias("artist_key")).distinct().withColumn("tagger", F.lit(True))
     out = cells.join(taggers, ["user", "artist_key"], "left")
     known: Column = F.lit(False)
     if official is not None:

@@ -88,3 +88,16 @@ def test_hostile_strings_are_quick():
         titles.album_kind(text, text + "x")
         titles.single_shaped(text, "x")
         assert time.perf_counter() - began < 3, repr(text[:20])
+
+
+def test_explicit_era_is_the_same_built_in(spark):
+    from pyspark.sql import functions as F
+
+    from playtide.functions import keys
+
+    rng = random.Random(4)
+    parts = ["unreleased", "Unrelased", "OG", "file", "files", "OG\u00a0Files", "ref", "reference tracks", "CDQ", "CDQs", "éCDQ", "(", ")", "[", "]", "era", "Era", "sessions", "sesh", "Rodeo", " ", "\t", "\u3000", "\u2003", "-", "leaks", "x_era", "\ufeff"]
+    albums = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 6))) for _ in range(4000)]
+    got = spark.createDataFrame([(a,) for a in albums], "a string").select("a", keys.explicit_era(F.col("a")).alias("e")).collect()
+    assert [(r.a, r.e) for r in got if r.e != eras.parse(r.a).explicit] == []
+    assert 500 < sum(r.e for r in got) < 3500
