@@ -22,6 +22,7 @@ _CUT = re.compile(r" (?=\S)")
 _LATIN = re.compile("[!-&(-~\xa1-ɏ]+(?:\n[!-&(-~\xa1-ɏ]+)*\n?")
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _DIGITS = "0-9²³¹¼-¾"
+_DOUBLE = ("  ", " \n", " \t", " \r", " \x0b", " \x0c")
 #: White space to Python alone.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _RUNS = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]+|[^{_LETTERS}{_DIGITS}]+")
@@ -98,7 +99,8 @@ class PieceEncoder:
     def _pieces(self, text: str) -> list[str]:
         if self.fold and not _SEPARATORS.search(text):  # every white space ends a token and is dropped
             return (text.lower() if text.isascii() else text).split()
-        pieces = _CUT.split(text)
+        plain = text.isascii() and text[-1] != " " and not any(x in text for x in _DOUBLE) and not _SEPARATORS.search(text)
+        pieces = text.split(" ") if plain else _CUT.split(text)  # alike where a letter follows every space
         if pieces[0]:
             pieces[0] = "\n" + pieces[0]
         else:
