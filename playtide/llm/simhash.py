@@ -233,6 +233,8 @@ def op4_simhash_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without the near copies: of each component the one with the smallest id stays."""
-    found = near_duplicates(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    """The documents without the near copies (five-word shingles alike to 0.8): of each component the one with the smallest id stays."""
+    from playtide.llm.similar import similar_documents
+
+    found = similar_documents(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(found, docs[id_col] == found["__kept"], "left_semi")
