@@ -25,14 +25,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playtide.llm.common import chunked, ragged_take, read_table, record_batch, take, texts
+from playtide.llm.common import chunked, ragged_take, read_table, record_batch, texts
 
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 _ALL = np.uint64((1 << 40) - 1)
-_NO_ID = -(1 << 63)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -269,25 +268,36 @@ def _trees(suffixes: DataFrame, width: int, budget: int) -> DataFrame:
     return suffixes.repartition("route").sortWithinPartitions("route").mapInArrow(run, "doc_id long, pos long, mask long")
 
 
+def _row_key(id_col: str, text_col: str) -> Column:
+    """A row is known by a hash of its id, null or not, and its text: rows that share it are alike in both."""
+    id_ = F.col(id_col).cast("long")
+    return F.xxhash64(F.coalesce(id_, F.lit(0)), id_.isNull(), F.col(text_col).cast("string"))
+
+
+def _by_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, id): doc_id is the row's key, id the id itself."""
+    return docs.select(_row_key(id_col, text_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id"))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text) dealt by id.  A null id gets a number of its own, so that an inner and a left
-    join read the very same exchange and the texts are shuffled once for both."""
-    return take(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID))).repartition("doc_id")
+    """(doc_id, text, id) dealt by the row's key.  An inner and a left join read the very same
+    exchange, with all three columns, so the texts are shuffled once for both."""
+    return _by_key(docs, id_col, text_col).repartition("doc_id")
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, k: int = 6, budget: int = 50_000) -> DataFrame:
     """(doc_id, pos, mask): the windows that occur anywhere else; bit b stands for the one at pos + b.
 
-    budget: suffix rows a task holds at once; a prefix with more is lengthened.  Rows of one id
-    must have one text.
+    doc_id is the row's key (_row_key).  budget: suffix rows a task holds at once; a prefix with
+    more is lengthened.
     """
     if width - k + 1 > 63 or width <= k:
         raise ValueError("width must exceed k, by less than 63")
     keyed = _keyed(docs, id_col, text_col)
-    lead = _leading(take(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID))), width, k)
+    lead = _leading(_by_key(docs, id_col, text_col).select("doc_id", "text"), width, k)
     common = lead.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key", (F.col("n") > budget).alias("hot"))
     live = lead.select("doc_id", "key").join(common, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "hot")).alias("live"))
-    joined = keyed.join(live, "doc_id").select("doc_id", "text", F.col("live.key").alias("keys"), F.col("live.hot").alias("hot"))
+    joined = keyed.join(live, "doc_id").select("doc_id", "text", "id", F.col("live.key").alias("keys"), F.col("live.hot").alias("hot"))
     return _trees(_suffixes(joined, width, k), width, budget)
 
 
@@ -304,7 +314,7 @@ def removed_words(n: int, pos: list[int], mask: list[int], width: int) -> np.nda
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, k: int = 6, budget: int = 50_000) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept has the words left, joined by one space."""
     found = repeated_windows(docs, id_col, text_col, width, k, budget).groupBy("doc_id").agg(F.collect_list("pos").alias("pos"), F.collect_list("mask").alias("mask"))
-    joined = _keyed(docs, id_col, text_col).join(found, "doc_id", "left").withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))
+    joined = _keyed(docs, id_col, text_col).join(found, "doc_id", "left").drop("doc_id").withColumnRenamed("id", "doc_id")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +340,7 @@ def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     Texts that lose no word keep their white space too; length_col, if named, gets the code
     points of a changed text.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("__id")
+    key = _row_key(id_col, text_col).alias("__id")
     found = repeated_windows(docs, id_col, text_col, width).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("pos").alias("__pos"), F.collect_list("mask").alias("__mask"))
     joined = docs.select("*", key).repartition("__id").join(found, "__id", "left").drop("__id")
     names = docs.columns

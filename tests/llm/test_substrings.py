@@ -54,3 +54,16 @@ def test_sql_agrees(frame, corpus, tmp_path):
 
 def test_empty_table(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_null_and_repeated_ids_with_different_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, f"{a} {b}"), (None, f"{c} x"), (None, "short"), (7, f"y {a}"), (7, "one two"), (7, " ".join(f"d{i}" for i in range(200)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(list(enumerate(t for _, t in rows)), 35)
+    assert sum(g for _, g, _ in want.values()) == 120
+    want = sorted(repr((rows[i][0], *w)) for i, w in want.items())
+    got = substrings.remove_repeats(df).collect()
+    assert sorted(repr((r.doc_id, r.n_words, r.n_removed, r.kept)) for r in got) == want
+    left = substrings.rewrite(df).collect()
+    assert sorted((repr(r.doc_id), r.text) for r in left) == sorted((repr(r.doc_id), r.kept) for r in got)
