@@ -11,7 +11,8 @@ key range merges its runs with a loser tree, which yields capture histories in g
 (URL key, then time, then page) over ranges that are ordered among themselves.
 
 Defined results: null html is an empty payload and a response; null or odd URLs get the key "-";
-repeated page_ids are written each; an empty table gives no rows; extra columns are ignored;
+repeated page_ids are written each, by their own payload; a null page_id is a response of the
+time zero, named "none", and nothing refers to it; an empty table gives no rows; extra columns are ignored;
 very long pages are kept whole.
 """
 
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from playtide.llm.common import chunked, materialise, read_table, record_batch, shared_path
 
 LEAST = 100
+#: Stands for a null page_id where captures are ordered: before all others.
+_NO_ID = -(1 << 63)
 BREAK = "\r\n\r\n"
 _SAFE = re.compile(r"[\x00-\x20\x7f]")
 
@@ -45,23 +48,22 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     sized = rows.select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"), F.octet_length("html").cast("long").alias("size"))
     first = sized.filter(F.col("size") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    shared = sized.filter(F.col("size") >= LEAST).join(first, "digest").filter("page_id > first").select("page_id", "first").distinct()
+    shared = sized.filter(F.col("size") >= LEAST).join(first, "digest").filter("page_id > first").select("page_id", "digest", "first").distinct()
     # stored first, so that its size is known: while it is small Spark broadcasts it and pages stay where they are
     shared = materialise(shared, "revisits")
-    marked = rows.join(shared, "page_id", "left")
-    again = (F.octet_length("html") >= LEAST) & F.col("first").isNotNull()
-    return marked.select("page_id", "url", "html", F.sha2(F.col("html").cast("binary"), 256).alias("digest"), F.octet_length("html").cast("long").alias("size"), F.when(again, F.col("first")).alias("refers_to"))
+    marked = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).join(shared, ["page_id", "digest"], "left")
+    return marked.select("page_id", "url", "html", "digest", F.octet_length("html").cast("long").alias("size"), F.col("first").alias("refers_to"))
 
 
-def capture_time(page_id: int) -> str:
+def capture_time(page_id: int | None) -> str:
     """Pages carry no time; captures are dated by their ids, a second each."""
-    return datetime.fromtimestamp(page_id % (1 << 31), UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    return datetime.fromtimestamp((page_id or 0) % (1 << 31), UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def record(page_id: int, url: str | None, html: str, digest: str, size: int, refers_to: int | None) -> str:
+def record(page_id: int | None, url: str | None, html: str, digest: str, size: int, refers_to: int | None) -> str:
     """One record without the final break: headers, break, block."""
     target = _SAFE.sub(lambda m: f"%{ord(m[0]):02X}", url or "") or "urn:none"
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {capture_time(page_id)}", f"WARC-Target-URI: {target}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'none' if page_id is None else page_id}>", f"WARC-Date: {capture_time(page_id)}", f"WARC-Target-URI: {target}"]
     lines += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}"]
     if refers_to is not None:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
@@ -99,8 +101,9 @@ def parse(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
         at = end + 4
 
 
-def _page(urn: str) -> int:
-    return int(urn.removeprefix("<urn:page:").removesuffix(">"))
+def _page(urn: str) -> int | None:
+    name = urn.removeprefix("<urn:page:").removesuffix(">")
+    return None if name == "none" else int(name)
 
 
 def url_key(url: str) -> str:
@@ -190,7 +193,7 @@ def merge_index(captures: DataFrame, least_ranges: int = 24, rows_per_range: int
     cut further by time.  Each shard is one task's k-way merge.
     """
     spark = captures.sparkSession
-    rows = captures.select("url_key", "time", "page_id", "file", "offset", "length")
+    rows = captures.select("url_key", "time", F.coalesce("page_id", F.lit(_NO_ID)).alias("page_id"), "file", "offset", "length")
     total = rows.count()
     ranges = max(least_ranges, -(-total // rows_per_range))
     # a sample only says where to cut; every capture is merged
@@ -219,7 +222,9 @@ def merge_index(captures: DataFrame, least_ranges: int = 24, rows_per_range: int
     ddl = ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'long'}" for f in parts)
     out = ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'long'}" for f in schema)
     sorted_runs = rows.mapInArrow(sort_runs, ddl)
-    return spark.createDataFrame([], out) if not total else sorted_runs.repartition(ranges, "shard").mapInArrow(merge, out)
+    if not total:
+        return spark.createDataFrame([], out)
+    return sorted_runs.repartition(ranges, "shard").mapInArrow(merge, out).withColumn("page_id", F.nullif("page_id", F.lit(_NO_ID)))
 
 
 def archive(pages: DataFrame, path: str, **columns) -> DataFrame:

@@ -68,3 +68,15 @@ def test_damage_and_empty(spark, tmp_path):
 
 def test_url_keys():
     assert warc.url_key("http://www.A.example.com/X?y=1") == "com,example,a)/x?y=1" and warc.url_key("") == "-" and warc.url_key("urn:none") == "-"
+
+
+def test_null_and_repeated_page_ids(spark, tmp_path):
+    one, two, three = "<p>one</p>" * 20, "<p>two</p>" * 20, "<p>three</p>" * 20
+    rows = [(1, "u", one), (2, "u", two), (5, "u", one), (5, "u", two), (5, "u", three), (5, "u", "short"), (None, "u", three), (None, "u", one), (0, "u", None), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = warc.archive(df, f"file://{tmp_path}/a").collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    assert sorted(map(repr, con.sql(warc.ORACLE).fetchall())) == sorted(repr((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in got)
+    assert {r.payload_digest for r in got if r.record_type == "response"} == {r.payload_digest for r in got}
