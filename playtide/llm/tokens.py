@@ -1,15 +1,23 @@
 """Encoding with the tokenizers library, each distinct run of characters once a worker.
 
-A text is cut before a space that a non-blank character follows.  No token of the vocabularies
-used here spans such a cut (their patterns match white space at the start of a token only), so
-the ids of a text are those of its pieces, one after another.  Pieces of Latin text without
-apostrophes are cut further, between letters, digits and the rest, where those patterns end a
-token too.  What is left recurs a lot: each distinct run is given to the library once and then
-looked up, in tables of bounded size that a worker keeps from task to task.
+The ids are those of `Tokenizer.from_file(path).encode(text, add_special_tokens=False)`; with
+special=False, those of the same call under `encode_special_tokens`, which reads the contents of
+special tokens as plain text.
+
+A text is cut before a space that a non-blank character follows.  No token of the two kinds of
+tokenizer named in `cuts()` spans such a cut (their patterns match white space at the start of a
+token only), so the ids of a text are those of its pieces, one after another.  Pieces of Latin
+text without apostrophes are cut further, between letters, digits and the rest, where those
+patterns end a token too.  What is left recurs a lot: each distinct run is given to the library
+once and then looked up, in tables of bounded size that a worker keeps from task to task.
+
+With special=True, texts that hold an added token's content (`<|endoftext|>` and the like) are
+encoded whole.  So is every text under a tokenizer of any other kind.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -28,6 +36,27 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")
 _RUNS = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]+|[^{_LETTERS}{_DIGITS}]+")
 
 
+#: The pattern and normalizers of the lower-casing word tokenizer that cuts() knows.
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def cuts(spec: dict) -> str:
+    """How texts may be cut under a tokenizer file: "space", "fold" (lower-cased, white space dropped) or "whole"."""
+    model, pre, norm = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("normalizer")
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    plain = plain and not spec.get("truncation") and not spec.get("padding")
+    # other added tokens may match across cuts, or where a run was lower-cased
+    plain = plain and not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or not t["special"] for t in spec.get("added_tokens", []))
+    if plain and norm is None and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"] and not model.get("end_of_word_suffix"):
+        return "space"
+    if plain and norm and norm.get("normalizers") == _WORD_NORMALIZERS and pre.get("type") == "Sequence" and len(pre["pretokenizers"]) == 2:
+        split, level = pre["pretokenizers"]
+        if split.get("pattern") == {"Regex": _WORD_PATTERN} and split["behavior"] == "Removed" and split["invert"] and level["type"] == "ByteLevel" and not level["add_prefix_space"] and not level["use_regex"]:
+            return "fold"
+    return "whole"
+
+
 class _Numbers(dict):
     """Numbers strings as they are first met, and lists the new ones."""
 
@@ -68,27 +97,36 @@ class _Lists:
 
 
 class PieceEncoder:
-    """Ids of whole texts.  fold: the tokenizer lower-cases and drops white space."""
+    """Ids of whole texts, under any tokenizer file.  fold: None, or whether the tokenizer lower-cases and drops white space."""
 
     _kept: dict = {}
 
-    def __init__(self, path: str, fold: bool = False, pieces: int = 400_000, runs: int = 1_000_000):
+    def __init__(self, path: str, fold: bool | None = None, pieces: int = 400_000, runs: int = 1_000_000, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.cut = cuts(spec)
+        if fold is not None and fold != (self.cut == "fold"):
+            raise ValueError(f"{path} is no such tokenizer")
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = not special
+        self.added = [t["content"] for t in spec.get("added_tokens", [])] if special else []
+        self.fold, self.limits = self.cut == "fold", (pieces, runs)
+        # for runs: a run that reads like an added token only once it is lower-cased is none
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.fold, self.limits = fold, (pieces, runs)
         self._forget_pieces()
         self._forget_runs()
 
     @classmethod
-    def shared(cls, path: str, fold: bool = False) -> PieceEncoder:
+    def shared(cls, path: str) -> PieceEncoder:
         """The encoder of this worker process."""
-        if (path, fold) not in cls._kept:
+        if path not in cls._kept:
             cls._kept.clear()
-            cls._kept[path, fold] = cls(path, fold)
-        return cls._kept[path, fold]
+            cls._kept[path] = cls(path, special=True)
+        return cls._kept[path]
 
     def _forget_pieces(self) -> None:
         self.pieces, self.runs_of = _Numbers(), _Lists()
@@ -151,8 +189,11 @@ class PieceEncoder:
             self._forget_pieces()
         number = self.pieces.__getitem__
         parts, sizes = [], np.zeros(len(texts), dtype=np.int64)
+        whole: dict[int, list[int]] = {}
         for i, t in enumerate(texts):
-            if t:
+            if self.cut == "whole" or any(x in t for x in self.added):
+                whole[i] = self.whole.encode(t, add_special_tokens=False).ids
+            elif t:
                 pieces = self._pieces(t)
                 sizes[i] = len(pieces)
                 parts.append(np.fromiter(map(number, pieces), dtype=np.int32, count=len(pieces)))
@@ -162,8 +203,11 @@ class PieceEncoder:
         per_piece = np.concatenate(([0], np.cumsum(n)))
         per_run = np.concatenate(([0], np.cumsum(m)))
         stops = np.cumsum(sizes)
-        cuts = per_run[per_piece[stops]]
-        per = cuts - per_run[per_piece[stops - sizes]]
+        ends = per_run[per_piece[stops]]
+        per = ends - per_run[per_piece[stops - sizes]]
+        if whole:
+            ids = np.concatenate([whole[i] if i in whole else ids[e - k : e] for i, (e, k) in enumerate(zip(ends.tolist(), per.tolist(), strict=True))]).astype(np.int32)
+            per[list(whole)] = [len(x) for x in whole.values()]
         out = np.empty(len(ids) + len(texts), dtype=np.int32)
         closed = np.cumsum(per + 1) - 1
         inside = np.ones(len(out), dtype=bool)
