@@ -101,7 +101,7 @@ class PieceEncoder:
 
     _kept: dict = {}
 
-    def __init__(self, path: str, fold: bool | None = None, pieces: int = 400_000, runs: int = 1_000_000, special: bool = False):
+    def __init__(self, path: str, fold: bool | None = None, pieces: int = 200_000, runs: int = 300_000, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
