@@ -1,17 +1,21 @@
 """Best-fit packing by bin completion.
 
 The packer sees only how many pieces there are of each length, at most `capacity` numbers, so
-it runs on the driver whatever the corpus.  For the largest length left it enumerates fillings
-of what remains, larger pieces first (a filling with one larger piece dominates one with
-smaller pieces in its place), prunes those that cannot beat the least waste so far, and uses
-the filling found as often as the counts allow.  The last few pieces are packed exactly by
-branch and bound over whole fillings, against the volume bound.  Best-fit decreasing is the
-incumbent; the better of the two is the plan.  Pieces then learn their places from their rank
-among those of their length.
+it runs on the driver whatever the corpus.  A bin is completed around the largest piece left:
+fillings of the room beside it are listed by the waste they leave, least first, and dominated
+ones are passed over (a filling is dominated if a piece outside it can take the place of some of
+its pieces that fit into that piece).  Branches whose waste, with that of the bins before, rules
+out fewer bins than the best plan so far are cut.  Many equal bins are completed at once; the
+last pieces one bin at a time.  Best-fit decreasing gives the first plan to beat.
+
+Fewest bins are NP-hard, so the search ends at a lower bound (volume, and that of Martello and
+Toth), when all branches are done, or after `nodes` fillings; a plan then holds every piece all
+the same, and only its number of bins may be above the least.  Pieces learn their places from
+their rank among those of their length.
 
 Defined results: a null or empty text is the end id alone; texts longer than the capacity are
-cut into full pieces after a first one that may be shorter; repeated rows are packed each; an
-empty table packs to no rows; extra columns are ignored.
+cut into full pieces after a first one that may be shorter; repeated rows, and rows without an
+id, are packed each; an empty table packs to no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from playtide.llm.common import chunked, materialise, read_table, record_batch, take
 from playtide.llm.tokens import PieceEncoder
@@ -47,7 +52,6 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacit
         for batch in chunked(batches):
             ids, n = encoder.encode([t or "" for t in batch.column("text").to_pylist()], end)
             raw = ids.astype("<u4").tobytes()
-            doc = batch.column("doc_id").to_numpy()
             parts = -(-n // capacity)
             row = np.repeat(np.arange(len(n)), parts)
             piece = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -56,73 +60,11 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacit
             start = np.where(piece == 0, 0, first[row] + (piece - 1) * capacity)
             at = 4 * ((np.cumsum(n) - n)[row] + start)
             crc = [zlib.crc32(raw[a : a + 4 * k]) for a, k in zip(at.tolist(), length.tolist(), strict=True)]
-            yield record_batch(schema, {"doc_id": doc[row], "piece": piece.astype(np.int32), "start": start, "length": length, "ids_crc32": crc})
+            yield record_batch(schema, {"doc_id": batch.column("doc_id").take(pa.array(row)), "piece": piece.astype(np.int32), "start": start, "length": length, "ids_crc32": crc})
 
     return take(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-class _Stock:
-    """Counts by length, with the largest length at most x at hand."""
-
-    def __init__(self, counts: dict[int, int], capacity: int):
-        self.n = [0] * (capacity + 1)
-        for length, k in counts.items():
-            if not 0 < length <= capacity:
-                raise ValueError(f"length {length} does not fit")
-            self.n[length] = k
-        self.below = list(range(capacity + 1))  # path-halved: the largest length <= x still in stock
-
-    def largest(self, x: int) -> int:
-        b = self.below
-        while x and not self.n[x]:
-            if b[x] == x:
-                b[x] = x - 1
-            b[x] = x = b[b[x]] if b[x] else 0
-        return x
-
-    def take(self, length: int, k: int) -> None:
-        self.n[length] -= k
-
-
-def fill(stock: _Stock, room: int, nodes: int = 400) -> list[int]:
-    """Lengths from the stock that leave the least of `room`, larger ones first."""
-    best: list[int] = []
-    least = room
-    chosen: list[int] = []
-    used: dict[int, int] = {}
-
-    def next_below(x: int) -> int:
-        x = stock.largest(x)
-        while x and stock.n[x] <= used.get(x, 0):
-            x = stock.largest(x - 1)
-        return x
-
-    def search(left: int, cap: int) -> bool:
-        nonlocal best, least, nodes
-        if left < least:
-            best, least = list(chosen), left
-            if not left:
-                return True
-        x = next_below(min(left, cap))
-        while x and nodes > 0:
-            nodes -= 1
-            chosen.append(x)
-            used[x] = used.get(x, 0) + 1
-            if search(left - x, x):
-                return True
-            chosen.pop()
-            used[x] -= 1
-            x = next_below(x - 1)
-        return False
-
-    import sys
-
-    if sys.getrecursionlimit() < room + 1000:
-        sys.setrecursionlimit(room + 1000)
-    search(room, room)
-    return best
-
-
 def _pattern(lengths: list[int]) -> Pattern:
     return tuple((x, lengths.count(x)) for x in sorted(set(lengths), reverse=True))
 
@@ -152,115 +94,194 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
     return [(_pattern(items), k) for group in bins.values() for items, k in group]
 
 
-def exact(lengths: list[int], capacity: int, limit: int, nodes: int = 20_000) -> list[list[int]] | None:
-    """Bins for these lengths, fewer than `limit`, by branch and bound over fillings of the largest; None if none is found."""
-    best: list[list[int]] | None = None
-    spent = 0
-
-    def fillings(rest: list[int], room: int) -> list[list[int]]:
-        out: list[list[int]] = []
-
-        def grow(at: int, left: int, have: list[int]) -> None:
-            if len(out) > 200:
-                return
-            tried, any_ = 0, False
-            for i in range(at, len(rest)):
-                x = rest[i]
-                if x <= left and x != tried:
-                    tried, any_ = x, True
-                    grow(i + 1, left - x, [*have, x])
-            if not any_:
-                out.append(have)
-
-        grow(0, room, [])
-        return sorted(out, key=lambda f: (-sum(f), len(f)))
-
-    def search(rest: list[int], bins: list[list[int]]) -> None:
-        nonlocal best, limit, spent
-        spent += 1
-        if not rest:
-            if len(bins) < limit:
-                best, limit = list(bins), len(bins)
+def least_bins(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound: the volume, and for each k the pieces over capacity - k, those over half, and what is left of the middle ones beside these (Martello and Toth)."""
+    lengths = sorted(counts, reverse=True)
+    best = -(-sum(x * counts[x] for x in lengths) // capacity)
+    over_half = sum(counts[x] for x in lengths if 2 * x > capacity)
+    for k in {x for x in lengths if 2 * x <= capacity}:
+        half = [x for x in lengths if capacity < 2 * x <= 2 * (capacity - k)]
+        room = sum((capacity - x) * counts[x] for x in half)
+        small = sum(x * counts[x] for x in lengths if k <= x and 2 * x <= capacity)
+        best = max(best, over_half + max(0, -(-(small - room) // capacity)))
+    return max(best, over_half)
+
+
+def _smear(bits: int, n: int) -> int:
+    """Every bit spread to the n places above it."""
+    have = 0
+    while have < n:
+        step = min(have + 1, n - have)
+        bits |= bits << step
+        have += step
+    return bits
+
+
+def _dominated(filling: list[int], waste: int, stock: dict[int, int]) -> bool:
+    """Whether a piece outside the filling can stand for pieces in it that would fit into that piece."""
+    sums, single, outside = 1, 0, 0
+    for x in filling:
+        sums |= sums << x
+        single |= 1 << x
+    for x, n in stock.items():
+        if n > filling.count(x):
+            outside |= 1 << x
+    pairs = 0  # sums of two pieces or more
+    seen = 1
+    for x in filling:
+        pairs |= (seen & ~1) << x
+        seen |= seen << x
+    grown = _smear(single, waste) & ~single if waste else 0  # a longer piece for one
+    for x in filling:
+        grown |= (_smear(1 << x, waste) & ~(1 << x)) if waste else 0
+    fresh = _smear(1, waste) & ~1 if waste else 0  # one more piece
+    return bool(outside & (_smear(pairs, waste) | grown | fresh))
+
+
+def fillings(stock: dict[int, int], room: int) -> Iterator[list[int]]:
+    """Undominated sets of pieces of the stock that fit the room, the least waste first, long pieces first.  None is left out."""
+    lengths = sorted((x for x, n in stock.items() if n and x <= room), reverse=True)
+    full = (1 << room + 1) - 1
+    reach = [1]  # sums that the lengths from some place on can make
+    for x in reversed(lengths):
+        bits, rest, k = reach[-1], min(stock[x], room // x), 1
+        while rest > 0:
+            k = min(k, rest)
+            bits |= bits << k * x & full
+            rest, k = rest - k, 2 * k
+        reach.append(bits & full)
+    reach.reverse()
+
+    def make(i: int, left: int) -> Iterator[list[int]]:
+        if not left:
+            yield []
             return
-        if spent > nodes or len(bins) + -(-sum(rest) // capacity) >= limit:
-            return
-        top, others = rest[0], rest[1:]
-        for f in fillings(others, capacity - top):
-            left = list(others)
-            for x in f:
-                left.remove(x)
-            search(left, [*bins, [top, *f]])
-            if spent > nodes or limit <= -(-total // capacity):
+        # the next length that takes part; those skipped can be left out as long as the rest reaches the sum
+        for j in range(i, len(lengths)):
+            if not reach[j] >> left & 1:
                 return
+            x = lengths[j]
+            for c in range(min(stock[x], left // x), 0, -1):
+                if reach[j + 1] >> left - c * x & 1:
+                    for more in make(j + 1, left - c * x):
+                        yield [x] * c + more
+
+    for total in range(room, -1, -1):
+        if reach[0] >> total & 1:
+            for found in make(0, total):
+                if not _dominated(found, room - total, stock):
+                    yield found
 
-    total = sum(lengths)
-    search(sorted(lengths, reverse=True), [])
-    return best
 
+def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, tail: int = 64, nodes: int = 100_000) -> list[tuple[Pattern, int]]:
+    """Patterns and how often each is used; together they hold every piece counted.
 
-def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, tail: int = 36) -> list[tuple[Pattern, int]]:
-    """Patterns and how often each is used; together they hold every piece counted."""
+    tail: from so many pieces on, bins are completed one at a time.  nodes: fillings tried before
+    the best plan so far is taken.
+    """
     counts = {k: v for k, v in counts.items() if v}
-    incumbent = best_fit(counts, capacity)
-    bound = -(-sum(k * v for k, v in counts.items()) // capacity)
-    fewest = sum(m for _, m in incumbent)
-    if fewest == bound:
-        return incumbent
-    stock, left = _Stock(counts, capacity), sum(counts.values())
-    plan: list[tuple[Pattern, int]] = []
-    while left > tail:
-        top = stock.largest(capacity)
-        stock.take(top, 1)
-        items = [top, *fill(stock, capacity - top)]
-        stock.take(top, -1)
-        pattern = _pattern(items)
-        m = min(stock.n[x] // k for x, k in pattern)
+    if any(not 0 < x <= capacity for x in counts):
+        raise ValueError("a piece does not fit")
+    volume = sum(k * v for k, v in counts.items())
+    bound = least_bins(counts, capacity) if counts else 0
+    plan = best_fit(counts, capacity)
+    # a plan of completed bins is taken if it needs no more bins than best fit does
+    limit = sum(m for _, m in plan) + 1
+    stock, left, bins, waste = dict(counts), sum(counts.values()), 0, 0
+    # a step back undoes its bins: (fillings still to try, pattern, how often, waste)
+    trail: list[tuple[Iterator[list[int]], Pattern, int, int]] = []
+    largest = lambda: max((x for x, n in stock.items() if n), default=0)
+    ahead: Iterator[list[int]] | None = None
+    spent = 0
+    while spent < nodes or not trail:
+        if not left:
+            if bins < limit:
+                plan, limit = [(p, m) for _, p, m, _ in trail], bins
+            if limit <= bound:
+                break
+            choices = iter(())
+        elif ahead is None:
+            top = largest()
+            stock[top] -= 1
+            choices = fillings(dict(stock), capacity - top)
+            stock[top] += 1
+        else:
+            choices, ahead = ahead, None
+            top = largest()
+        found = next(choices, None)
+        spent += 1
+        if found is not None:
+            pattern = _pattern([top, *found])
+            lost = capacity - top - sum(found)
+            m = min(stock[x] // k for x, k in pattern) if left > tail else 1
+            # with every bin that follows full, are there still fewer bins than the limit?
+            if (limit - 1) * capacity - volume >= waste + m * lost:
+                for x, k in pattern:
+                    stock[x] -= m * k
+                    left -= m * k
+                bins, waste = bins + m, waste + m * lost
+                trail.append((choices, pattern, m, m * lost))
+                continue
+            # fillings come by waste, so all that follow are cut too; one bin of many may still do
+        if not trail:
+            break
+        ahead, pattern, m, lost = trail.pop()
         for x, k in pattern:
-            stock.take(x, m * k)
-            left -= m * k
-        plan.append((pattern, m))
-    rest = {x: k for x, k in enumerate(stock.n) if k}
-    if rest:
-        greedy = best_fit(rest, capacity)
-        lengths = [x for x, k in rest.items() for _ in range(k)]
-        better = exact(lengths, capacity, sum(m for _, m in greedy))
-        plan += greedy if better is None else [(_pattern(b), 1) for b in better]
-    return plan if sum(m for _, m in plan) < fewest else incumbent
-
-
-def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = 256) -> DataFrame:
+            stock[x] += m * k
+            left += m * k
+        bins, waste = bins - m, waste - lost
+    return plan
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_rank: int = 100_000) -> DataFrame:
     """pieces with (sequence_id, offset); pieces(doc_id, piece, length, ...).
 
-    A piece's rank among those of its length is its rank inside one of `buckets` hash buckets
-    plus the sizes of those before, so a length that many documents share is no single task.
+    A piece's rank among those of its length is its rank inside a hash bucket plus the sizes of
+    the buckets before it.  A length has a bucket for every `rows_per_rank` pieces, so one that
+    many documents share is no single task.
     """
     spark = pieces.sparkSession
-    rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
-    sizes = rows.groupBy("length", "bucket").agg(F.count("*").alias("k"))
-    counts = {r["length"]: r["k"] for r in sizes.groupBy("length").agg(F.sum("k").alias("k")).collect()}  # capacity rows at most
-    slots, used, sequence = [], dict.fromkeys(counts, 0), 0
+    counts = {r["length"]: r["k"] for r in pieces.groupBy("length").agg(F.count("*").alias("k")).collect()}  # capacity rows at most
+    # slots and patterns are bounded by the capacity, not by the corpus: each step but the last few uses a length up
+    slots: dict[int, list[tuple[int, int, int, int]]] = {}
+    used, sequence = dict.fromkeys(counts, 0), 0
     for pattern, m in complete_bins(counts, capacity):
         offset = 0
         for length, k in pattern:
-            slots.append((length, used[length], used[length] + m * k, k, sequence, offset))
+            slots.setdefault(length, []).append((used[length], k, sequence, offset))
             used[length] += m * k
             offset += length * k
         sequence += m
     if used != counts:
         raise AssertionError("the plan does not hold every piece")
-    table = spark.createDataFrame(slots, "length long, low long, high long, copies long, first long, base long")
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("length", "bucket", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("ahead"))
-    rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1
-    rows = rows.withColumn("rank", rank).join(sizes, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("ahead"))
-    # at most a slot for each length of each pattern: bounded by the capacity, not by the corpus
-    rows = rows.join(F.broadcast(table) if len(slots) < 200_000 else table, "length").filter("rank >= low AND rank < high")
-    inside = F.col("rank") - F.col("low")
-    return rows.select(
-        *pieces.columns,
-        (F.col("first") + F.floor(inside / F.col("copies"))).cast("long").alias("sequence_id"),
-        (F.col("base") + F.pmod(inside, F.col("copies")) * F.col("length")).cast("long").alias("offset"),
-    )
+    table = spark.sparkContext.broadcast({x: np.array(v, dtype=np.int64).T for x, v in slots.items()})
+    buckets = F.create_map(*[F.lit(v) for x, k in counts.items() for v in (x, -(-k // rows_per_rank))]) if counts else None
+    of_length = F.element_at(buckets, F.col("length")) if counts else F.lit(1)
+    rows = pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece", "start"), of_length).cast("int"))
+    sizes = rows.groupBy("length", "__bucket").agg(F.count("*").alias("__k"))
+    before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("length", "__bucket", F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__ahead"))
+    rank = F.row_number().over(Window.partitionBy("length", "__bucket").orderBy("doc_id", "piece")) - 1
+    rows = rows.withColumn("__rank", rank).join(sizes, ["length", "__bucket"])
+    rows = rows.select(*pieces.columns, (F.col("__rank") + F.col("__ahead")).cast("long").alias("__rank"))
+    names = pieces.columns
+    ddl = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = table.value
+        for batch in batches:
+            length, rank = batch.column("length").to_numpy(), batch.column("__rank").to_numpy()
+            place = np.zeros((2, len(length)), dtype=np.int64)
+            for x in np.unique(length).tolist():
+                here = np.flatnonzero(length == x)
+                low, copies, first, base = at[x]
+                slot = np.searchsorted(low, rank[here], side="right") - 1
+                inside = rank[here] - low[slot]
+                place[0, here] = first[slot] + inside // copies[slot]
+                place[1, here] = base[slot] + inside % copies[slot] * x
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(place[0]), pa.array(place[1])], names=[*names, "sequence_id", "offset"])
+
+    return rows.mapInArrow(run, ddl)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
