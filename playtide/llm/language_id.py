@@ -6,13 +6,15 @@ has it, each step to a shorter one costing that node's escape probability (disti
 over followers plus distinct followers); the last resort is uniform over 256 bytes.  Counts are
 frozen after learning, so the code length of a text is a sum over its 4-byte windows.
 
-The trees are pruned to `max_grams` 4-byte paths a language, the most frequent first: that
-bounds the model (and what is broadcast) at max_grams x languages entries, whatever the corpus.
-All training rows are counted.
+All training rows are counted, in every order of context.  A path is kept if it is at least one
+in `max_grams` of its language's bytes, the same rule at every size: no order can hold more than
+max_grams paths a language, which bounds the model and what is broadcast.  What a context loses
+with its rare paths goes to its escape probability, so its code lengths still add up to one.
 
 Defined results: a null text or one without a letter is `und` with score 0; with nothing to
 learn from, every text is `und`; ties go to the language that sorts first; empty tables give no
-rows; repeated rows count as often as they occur; very long texts are read whole.
+rows; repeated rows count as often as they occur, and rows without an id are predicted like
+others; very long texts are read whole; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playtide.llm.common import bucket_of_id, chunked, read_table, record_batch, texts
+from playtide.llm.common import bucket_of_id, chunked, materialise, read_table, record_batch, texts
 
 DEPTH = 3
 UND = "und"
@@ -53,28 +55,31 @@ def windows(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Tree:
-    """Counts of one language: paths of each length, sorted, and its contexts' totals."""
+    """Counts of one language by order: paths, sorted, and the contexts they are in with their totals and escape weights."""
 
     paths: list[np.ndarray]
     counts: list[np.ndarray]
     contexts: list[np.ndarray]
     total: list[np.ndarray]
     kinds: list[np.ndarray]
+    escape: list[np.ndarray]
 
     @classmethod
-    def grow(cls, codes: np.ndarray, counts: np.ndarray) -> Tree:
-        made = cls([], [], [], [], [])
-        for d in range(DEPTH + 1):  # contexts of d bytes
-            path = codes & np.uint32((1 << 8 * (d + 1)) - 1)
-            names, inverse = np.unique(path, return_inverse=True)
-            n = np.bincount(inverse, weights=counts, minlength=len(names))
-            ctx, at = np.unique(names >> np.uint32(8), return_inverse=True)
-            made.paths.append(names)
-            made.counts.append(n)
-            made.contexts.append(ctx)
-            made.total.append(np.bincount(at, weights=n, minlength=len(ctx)))
-            made.kinds.append(np.bincount(at, minlength=len(ctx)).astype(np.float64))
-        return made
+    def empty(cls) -> Tree:
+        return cls([], [], [], [], [], [])
+
+    def add(self, paths: np.ndarray, counts: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> None:
+        """The next order: kept paths with their counts, and each one's context's total and distinct followers, pruned ones included."""
+        order = np.argsort(paths)
+        paths, counts = paths[order], counts[order]
+        ctx, first, at = np.unique(paths >> np.uint32(8), return_index=True, return_inverse=True)
+        total, kinds = total[order][first], kinds[order][first]
+        self.paths.append(paths)
+        self.counts.append(counts)
+        self.contexts.append(ctx)
+        self.total.append(total)
+        self.kinds.append(kinds)
+        self.escape.append(kinds + total - np.bincount(at, weights=counts, minlength=len(ctx)))
 
     def bits(self, codes: np.ndarray) -> np.ndarray:
         """Code length of the last byte of each window, in bits."""
@@ -92,7 +97,7 @@ class Tree:
             weight = self.total[d][at] + self.kinds[d][at]
             out[hit] -= np.log2(self.counts[d][p[hit]] / weight[hit])
             miss = known & ~hit
-            out[miss] -= np.log2(self.kinds[d][at[miss]] / weight[miss])
+            out[miss] -= np.log2(self.escape[d][at[miss]] / weight[miss])
             open_ &= ~hit
         out[open_] += 8.0
         return out
@@ -160,28 +165,27 @@ def count_windows(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     return rows.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_grams: int = 100_000) -> Model:
-    """The trees of all languages in lang_col.  The driver gets max_grams paths a language at most."""
-    from pyspark.sql import Window
-
-    counts = count_windows(docs, lang_col, text_col)
-    # The cut by count first, on the histogram of counts: no language's paths meet in one task.
-    hist = counts.groupBy("lang", "n").agg(F.count("*").alias("k"))
-    above = F.sum("k").over(Window.partitionBy("lang").orderBy(F.desc("n")))
-    counts = counts.persist()
-    try:
-        floor = {r["lang"]: r["n"] for r in hist.withColumn("above", above).filter(F.col("above") <= max_grams).groupBy("lang").agg(F.min("n").alias("n")).collect()}
-        langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
-        trees = []
+def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_grams: int = 1_000_000) -> Model:
+    """The trees of all languages in lang_col.  The driver gets max_grams paths a language and order at most."""
+    counts = materialise(count_windows(docs, lang_col, text_col), "windows")
+    sizes = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    langs = sorted(sizes)
+    trees = {lang: Tree.empty() for lang in langs}
+    if not langs:
+        return Model([], [])
+    least = F.element_at(F.create_map(*[F.lit(x) for lang in langs for x in (lang, sizes[lang] / max_grams)]), F.col("lang"))
+    for d in range(DEPTH + 1):
+        path = F.col("code").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1))
+        paths = counts.groupBy("lang", path.alias("path")).agg(F.sum("n").alias("n"))
+        context = F.shiftright("path", 8).alias("context")
+        totals = paths.groupBy("lang", context).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        kept = paths.filter(F.col("n") >= least).select("lang", "path", "n", context).join(totals, ["lang", "context"]).toArrow()
+        named = np.array(kept.column("lang").to_pylist(), dtype=object)
         for lang in langs:
-            least = floor.get(lang)
-            kept = counts.filter(F.col("lang") == lang)
-            kept = kept.filter(F.col("n") >= least) if least is not None else kept.orderBy(F.desc("n"), "code").limit(max_grams)
-            rows = kept.select("code", "n").toPandas()
-            trees.append(Tree.grow(rows["code"].to_numpy().astype(np.uint32), rows["n"].to_numpy().astype(np.float64)))
-    finally:
-        counts.unpersist()
-    return Model(langs, trees)
+            here = np.flatnonzero(named == lang)
+            columns = [kept.column(c).to_numpy()[here] for c in ("path", "n", "total", "kinds")]
+            trees[lang].add(columns[0].astype(np.uint32), *(c.astype(np.float64) for c in columns[1:]))
+    return Model(langs, [trees[lang] for lang in langs])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
