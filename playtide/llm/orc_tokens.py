@@ -42,6 +42,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
             ids, n = encoder.encode([t or "" for t in batch.column("text").to_pylist()], end)
             offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
             yield record_batch(schema, {"doc_id": batch.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))})
+        PieceEncoder.rest()
 
     return take(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 

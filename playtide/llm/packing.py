@@ -61,6 +61,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacit
             at = 4 * ((np.cumsum(n) - n)[row] + start)
             crc = [zlib.crc32(raw[a : a + 4 * k]) for a, k in zip(at.tolist(), length.tolist(), strict=True)]
             yield record_batch(schema, {"doc_id": batch.column("doc_id").take(pa.array(row)), "piece": piece.astype(np.int32), "start": start, "length": length, "ids_crc32": crc})
+        PieceEncoder.rest()
 
     return take(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -20,10 +20,11 @@ from __future__ import annotations
 import json
 import os
 import re
+import threading
 
 import numpy as np
 
-from playtide.llm.common import ragged_take
+from playtide.llm.common import give_back, ragged_take
 
 _CUT = re.compile(r" (?=\S)")
 #: Pieces that may be cut further: below U+0250 composed forms are stable; single line ends only.
@@ -100,6 +101,7 @@ class PieceEncoder:
     """Ids of whole texts, under any tokenizer file.  fold: None, or whether the tokenizer lower-cases and drops white space."""
 
     _kept: dict = {}
+    _idle: threading.Timer | None = None
 
     def __init__(self, path: str, fold: bool | None = None, pieces: int = 200_000, runs: int = 300_000, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -110,8 +112,7 @@ class PieceEncoder:
         self.cut = cuts(spec)
         if fold is not None and fold != (self.cut == "fold"):
             raise ValueError(f"{path} is no such tokenizer")
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = not special
+        self.path, self.special, self.whole = path, special, None
         self.added = [t["content"] for t in spec.get("added_tokens", [])] if special else []
         self.fold, self.limits = self.cut == "fold", (pieces, runs)
         # for runs: a run that reads like an added token only once it is lower-cased is none
@@ -123,10 +124,33 @@ class PieceEncoder:
     @classmethod
     def shared(cls, path: str) -> PieceEncoder:
         """The encoder of this worker process."""
-        if path not in cls._kept:
+        if cls._idle is not None:
+            cls._idle.cancel()
+        found = cls._kept.get(path)
+        if found is None:
             cls._kept.clear()
-            cls._kept[path] = cls(path, special=True)
-        return cls._kept[path]
+            found = cls._kept[path] = cls(path, special=True)
+        return found
+
+    @classmethod
+    def rest(cls, seconds: float = 4.0) -> None:
+        """A task is done: tables are given back unless the worker's next task asks for them soon."""
+        if cls._idle is not None:
+            cls._idle.cancel()
+
+        def free() -> None:
+            cls._kept.clear()
+            give_back()
+
+        cls._idle = threading.Timer(seconds, free)
+        cls._idle.daemon = True
+        cls._idle.start()
+
+    def _whole(self, text: str) -> list[int]:
+        if self.whole is None:
+            self.whole = type(self.tokenizer).from_file(self.path)
+            self.whole.encode_special_tokens = not self.special
+        return self.whole.encode(text, add_special_tokens=False).ids
 
     def _forget_pieces(self) -> None:
         self.pieces, self.runs_of = _Numbers(), _Lists()
@@ -192,7 +216,7 @@ class PieceEncoder:
         whole: dict[int, list[int]] = {}
         for i, t in enumerate(texts):
             if self.cut == "whole" or any(x in t for x in self.added):
-                whole[i] = self.whole.encode(t, add_special_tokens=False).ids
+                whole[i] = self._whole(t)
             elif t:
                 pieces = self._pieces(t)
                 sizes[i] = len(pieces)
