@@ -9,7 +9,7 @@ out fewer bins than the best plan so far are cut.  Many equal bins are completed
 last pieces one bin at a time.  Best-fit decreasing gives the first plan to beat.
 
 Fewest bins are NP-hard, so the search ends at a lower bound (volume, and that of Martello and
-Toth), when all branches are done, or after `nodes` fillings; a plan then holds every piece all
+Toth), when all branches of its last `back` steps are done, or after `nodes` fillings; a plan then holds every piece all
 the same, and only its number of bins may be above the least.  Pieces learn their places from
 their rank among those of their length.
 
@@ -174,11 +174,11 @@ def fillings(stock: dict[int, int], room: int) -> Iterator[list[int]]:
                     yield found
 
 
-def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, tail: int = 64, nodes: int = 100_000) -> list[tuple[Pattern, int]]:
+def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, tail: int = 64, nodes: int = 100_000, back: int = 128) -> list[tuple[Pattern, int]]:
     """Patterns and how often each is used; together they hold every piece counted.
 
     tail: from so many pieces on, bins are completed one at a time.  nodes: fillings tried before
-    the best plan so far is taken.
+    the best plan so far is taken.  back: steps that can be taken back.
     """
     counts = {k: v for k, v in counts.items() if v}
     if any(not 0 < x <= capacity for x in counts):
@@ -190,7 +190,7 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, tail: int =
     limit = sum(m for _, m in plan) + 1
     stock, left, bins, waste = dict(counts), sum(counts.values()), 0, 0
     # a step back undoes its bins: (fillings still to try, pattern, how often, waste)
-    trail: list[tuple[Iterator[list[int]], Pattern, int, int]] = []
+    trail: list[tuple[Iterator[list[int]] | None, Pattern, int, int]] = []
     largest = lambda: max((x for x, n in stock.items() if n), default=0)
     ahead: Iterator[list[int]] | None = None
     spent = 0
@@ -222,6 +222,8 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, tail: int =
                     left -= m * k
                 bins, waste = bins + m, waste + m * lost
                 trail.append((choices, pattern, m, m * lost))
+                if len(trail) > back:  # its fillings take memory, and no search of this length comes back so far
+                    trail[-back - 1] = (None, *trail[-back - 1][1:])
                 continue
             # fillings come by waste, so all that follow are cut too; one bin of many may still do
         if not trail:
@@ -231,6 +233,8 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, tail: int =
             stock[x] += m * k
             left += m * k
         bins, waste = bins - m, waste - lost
+        if ahead is None:
+            break
     return plan
 
 
