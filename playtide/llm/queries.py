@@ -13,7 +13,7 @@ _QUERIES = {
     "op6_substring_dedup": "substrings",
     "op7_bpe_replay": "bpe_replay",
     "op8_jpeg_media": "jpeg",
-    "op9_suffix_tree_lm": "suffix_lm",
+    "op9_suffix_tree_lm": "context_lm",
     "op10_warc_merge": "warc",
 }
 
