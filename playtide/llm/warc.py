@@ -6,26 +6,31 @@ response, the rest are revisits that name it.  Records are written with Spark's
 can write and an executor's loss repeats only its files; they are read back as whole binary
 files and parsed by their Content-Length.
 
-The index has one sorted run per archive.  Runs are cut at common URL-key boundaries, and each
-key range merges its runs with a loser tree, which yields capture histories in global order
-(URL key, then time, then page) over ranges that are ordered among themselves.
+The index is merged externally.  Captures are sorted in each task, a run each, and cut into blocks
+that end at common boundaries of the key ranges.  A key range gets its blocks in the order of
+their first keys, so a block is needed only once all smaller keys are out: what is held is about a
+block a run, whatever the range's size.  A loser tree merges what is held and yields capture
+histories in global order (URL key, then time, then page), over ranges that are ordered among
+themselves.  Blocks carry whole captures, so what is merged is the result.
 
 Defined results: null html is an empty payload and a response; null or odd URLs get the key "-";
 repeated page_ids are written each, by their own payload; a null page_id is a response of the
 time zero, named "none", and nothing refers to it; an empty table gives no rows; extra columns are ignored;
-very long pages are kept whole.
+very long pages are kept whole, in an archive of their own if need be.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from datetime import UTC, datetime
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,16 +77,25 @@ def record(page_id: int | None, url: str | None, html: str, digest: str, size: i
     return "\r\n".join(lines) + BREAK + block
 
 
-def write(planned: DataFrame, path: str, rows_per_file: int = 50_000) -> None:
-    """Write planned records as .warc text under path."""
+def write(planned: DataFrame, path: str, bytes_per_file: int = 32 << 20) -> None:
+    """Write planned records as .warc text under path; a file ends with the record that reaches its size."""
     schema = pa.schema([("value", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        size = 0
         for batch in chunked(batches, column="html"):
             cols = [batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "size", "refers_to")]
-            yield record_batch(schema, {"value": [record(*r) for r in zip(*cols, strict=True)]})
+            for r in zip(*cols, strict=True):
+                held.append(record(*r))
+                size += len(held[-1])
+                if size >= bytes_per_file:
+                    yield record_batch(schema, {"value": [BREAK.join(held)]})
+                    held, size = [], 0
+        if held:
+            yield record_batch(schema, {"value": [BREAK.join(held)]})
 
-    planned.mapInArrow(run, "value string").write.option("lineSep", BREAK).option("maxRecordsPerFile", rows_per_file).text(path)
+    planned.mapInArrow(run, "value string").write.option("lineSep", BREAK).option("maxRecordsPerFile", 1).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -185,54 +199,105 @@ class LoserTree:
             self._play(i, False)
 
 
-def merge_index(captures: DataFrame, least_ranges: int = 24, rows_per_range: int = 200_000) -> DataFrame:
-    """(shard, place, url_key, time, page_id, file, offset, length) in global order by (shard, place).
+def merge_blocks(blocks: Iterator[tuple[int, list[tuple]]]) -> Iterator[tuple]:
+    """All rows of the blocks in order.  blocks: (run, sorted rows), by first rows; a run's blocks follow one another."""
+    held: dict[int, list[tuple]] = {}
+    for run, rows in blocks:
+        ready = []
+        for r, have in list(held.items()):
+            k = bisect.bisect_left(have, rows[0])
+            ready.append(have[:k])
+            held[r] = have[k:]
+            if not held[r]:
+                del held[r]
+        yield from LoserTree([x for x in ready if x])
+        held.setdefault(run, []).extend(rows)
+    yield from LoserTree(list(held.values()))
 
-    captures: a stored table as read() gives it.  Every archive's captures make a sorted run, which is cut at
-    range boundaries taken from the keys' own distribution; a range with one very common key is
-    cut further by time.  Each shard is one task's k-way merge.
+
+#: What orders captures, and what else the index has of them.
+ORDER = ("url_key", "time", "page_id", "file", "offset")
+REST = ("length", "url", "record_type", "payload_bytes", "payload_digest", "refers_to")
+
+
+def merge_index(captures: DataFrame, least_ranges: int = 24, rows_per_range: int = 1_000_000, block: int = 2_000) -> DataFrame:
+    """(shard, place, and the columns of captures) in global order by (shard, place).
+
+    captures: a stored table as read() gives it.  Range boundaries come from the keys' own
+    distribution, some twenty keys a range; a range with one very common key is cut further by
+    time and page.
     """
     spark = captures.sparkSession
-    rows = captures.select("url_key", "time", F.coalesce("page_id", F.lit(_NO_ID)).alias("page_id"), "file", "offset", "length")
+    rows = captures.select(*ORDER, *REST).withColumn("page_id", F.coalesce("page_id", F.lit(_NO_ID)))
     total = rows.count()
     ranges = max(least_ranges, -(-total // rows_per_range))
     # a sample only says where to cut; every capture is merged
-    sample = sorted(tuple(r) for r in rows.sample(min(1.0, 200.0 * ranges / max(1, total)), seed=7).select("url_key", "time", "page_id").collect())
+    sample = sorted(tuple(r) for r in rows.sample(min(1.0, 20.0 * ranges / max(1, total)), seed=7).select("url_key", "time", "page_id").collect())
     cuts = [sample[len(sample) * i // ranges] for i in range(1, ranges)] if len(sample) >= ranges else []
-    names = {"shard": pa.int64(), "place": pa.int64(), "url_key": pa.string(), "time": pa.string(), "page_id": pa.int64(), "file": pa.string(), "offset": pa.int64(), "length": pa.int64()}
-    schema = pa.schema(list(names.items()))
-    columns = ["url_key", "time", "page_id", "file", "offset", "length"]
-    parts = pa.schema([("shard", pa.int64()), *[(c, names[c]) for c in columns]])
-
-    def sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shared = spark.sparkContext.broadcast(cuts)
+    strings = {"url_key", "time", "file", "url", "record_type", "payload_digest"}
+    kind = lambda c: pa.string() if c in strings else pa.int64()
+    whole = pa.schema([(c, kind(c)) for c in (*ORDER, *REST)])
+    schema = pa.schema([("shard", pa.int32()), *[(c, kind(c)) for c in ORDER], ("run", pa.int64()), ("rows", pa.binary())])
+    out = pa.schema([("shard", pa.int64()), ("place", pa.int64()), *whole])
+
+    def sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts, run = shared.value, TaskContext.get().partitionId()
         for batch in batches:
-            run = sorted(zip(*(batch.column(c).to_pylist() for c in columns), strict=True))
-            shard = [bisect.bisect_right(cuts, r[:3]) for r in run]
-            yield record_batch(parts, {"shard": shard} | {c: [r[j] for r in run] for j, c in enumerate(columns)})
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ORDER[:3]), strict=True))
+            at, blocks = 0, {f.name: [] for f in schema}
+            while at < len(keys):
+                shard = bisect.bisect_right(cuts, keys[at])
+                end = bisect.bisect_left(keys, cuts[shard], at) if shard < len(cuts) else len(keys)
+                part = batch.slice(at, min(block, end - at))
+                for c in ORDER:
+                    blocks[c].append(part.column(c)[0].as_py())
+                blocks["shard"].append(shard)
+                blocks["run"].append(run)
+                blocks["rows"].append(_packed(part))
+                at += part.num_rows
+            if keys:
+                yield record_batch(schema, blocks)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[int, dict] = {}
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ["shard", *columns]), strict=True):
-                runs.setdefault(row[0], {}).setdefault(row[4], []).append(row[1:])
-        for shard, by_file in sorted(runs.items()):
-            merged = list(LoserTree([sorted(r) if any(r[i] > r[i + 1] for i in range(len(r) - 1)) else r for r in by_file.values()]))
-            yield record_batch(schema, {"shard": [shard] * len(merged), "place": list(range(len(merged)))} | {c: [r[j] for r in merged] for j, c in enumerate(columns)})
+        def flat() -> Iterator[tuple[int, int, list[tuple]]]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    part = _unpacked(batch.column("rows")[i].as_buffer())
+                    yield batch.column("shard")[i].as_py(), batch.column("run")[i].as_py(), list(zip(*(part.column(c).to_pylist() for c in whole.names), strict=True))
+
+        for shard, group in itertools.groupby(flat(), key=lambda x: x[0]):
+            place, merged = 0, merge_blocks((run, rows) for _, run, rows in group)
+            while some := list(itertools.islice(merged, 10_000)):
+                columns = dict(zip(whole.names, map(list, zip(*some, strict=True)), strict=True))
+                yield record_batch(out, {"shard": [shard] * len(some), "place": list(range(place, place + len(some)))} | columns)
+                place += len(some)
+
+    ddl = ", ".join(f"{f.name} {_ddl(f.type)}" for f in schema)
+    runs = rows.sortWithinPartitions(*ORDER).mapInArrow(sorted_blocks, ddl)
+    dealt = runs.repartitionById(ranges, "shard").sortWithinPartitions("shard", *ORDER)
+    return dealt.mapInArrow(merge, ", ".join(f"{f.name} {_ddl(f.type)}" for f in out)).withColumn("page_id", F.nullif("page_id", F.lit(_NO_ID)))
+
+
+def _ddl(kind: pa.DataType) -> str:
+    return {pa.string(): "string", pa.int32(): "int", pa.binary(): "binary"}.get(kind, "long")
+
+
+def _packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
 
-    ddl = ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'long'}" for f in parts)
-    out = ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'long'}" for f in schema)
-    sorted_runs = rows.mapInArrow(sort_runs, ddl)
-    if not total:
-        return spark.createDataFrame([], out)
-    return sorted_runs.repartition(ranges, "shard").mapInArrow(merge, out).withColumn("page_id", F.nullif("page_id", F.lit(_NO_ID)))
+def _unpacked(data: pa.Buffer) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
 
 
 def archive(pages: DataFrame, path: str, **columns) -> DataFrame:
-    """Write pages as WARC under path and read them back, with each record's place in the merged index."""
+    """Write pages as WARC under path, read them back and merge the captures' index: (shard, place, and the columns of read())."""
     write(plan_records(pages, **columns), path)
-    captures = materialise(read(pages.sparkSession, path), "records")
-    index = merge_index(captures).select("file", "offset", "shard", "place")
-    return captures.join(index, ["file", "offset"])
+    return merge_index(materialise(read(pages.sparkSession, path), "records"))
 
 
 def op10_warc_merge(spark, sf_dir: str) -> DataFrame:
