@@ -173,23 +173,39 @@ def _masks() -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in pairs]
 
 
+def _finer(mask: int) -> list[int]:
+    """Five masks over the bits that `mask` leaves: a pair within four differing bits agrees on one of them."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    out = [sum(1 << b for b in rest[j::5]) for j in range(5)]
+    return [m - (1 << 64) if m >> 63 else m for m in out]
+
+
 def link_table(fps: DataFrame, radius: int = 4, hot: int = 20_000) -> DataFrame:
     """Edges (a, b) between distinct fingerprints of fps(fp) whose classes must be joined.
 
     Every fingerprint goes to the 15 groups named by two of six bit blocks; a pair within four
     differing bits meets in one of them at least.  A group of more than `hot` fingerprints is
-    cut into parts, and every two parts meet in a task of their own, so no task holds more than
-    two parts and no pair is lost.
+    split in the same way by the bits it does not name: into groups by each of five blocks, one of
+    which such a pair has in common.  Only what is still larger is cut into parts, and every two
+    parts meet in a task of their own, so no task holds more than two parts and no pair is lost.
     """
     if radius > len(BLOCKS) - 2:
         raise ValueError("radius must be 4 or less")
-    tables = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for t, m in enumerate(_masks())])
-    rows = fps.select("fp", F.explode(tables).alias("key"))
-    large = rows.groupBy("key").count().filter(F.col("count") > hot).select("key", F.ceil(F.col("count") / (hot // 2)).cast("int").alias("parts"))
-    rows = rows.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.xxhash64(F.col("key"), F.least(i, F.col("part")), F.greatest(i, F.col("part"))))
-    rows = rows.withColumn("part", part).select("fp", F.explode(F.when(F.col("parts") == 1, F.array("key")).otherwise(meets)).alias("key"))
+    masks = _masks()
+    tables = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for t, m in enumerate(masks)])
+    rows = fps.select("fp", F.posexplode(tables).alias("t", "key"))
+    large = materialise(rows.groupBy("key").count().filter(F.col("count") > hot).select("key", F.lit(True).alias("large")), "large-groups")
+    if large.isEmpty():
+        rows = rows.select("fp", "key")
+    else:
+        of_table = F.array(*[F.array(*[F.lit(m).cast("long") for m in _finer(m & (1 << 64) - 1)]) for m in masks])
+        split = F.transform(F.element_at(of_table, F.col("t") + 1), lambda m, j: F.xxhash64("key", j, F.col("fp").bitwiseAND(m)))
+        rows = rows.join(large, "key", "left").select("fp", F.explode(F.when(F.col("large"), split).otherwise(F.array("key"))).alias("key"))
+        larger = rows.groupBy("key").count().filter(F.col("count") > hot).select("key", F.ceil(F.col("count") / (hot // 2)).cast("int").alias("parts"))
+        rows = rows.join(larger, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+        meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.xxhash64(F.col("key"), F.least(i, F.col("part")), F.greatest(i, F.col("part"))))
+        rows = rows.withColumn("part", part).select("fp", F.explode(F.when(F.col("parts") == 1, F.array("key")).otherwise(meets)).alias("key"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
