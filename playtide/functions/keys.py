@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ def _keys(artist: pd.Series, album: pd.Series, track: pd.Series) -> pd.DataFrame
         e = eras.parse(b)
         base = titles.base_title(t)
         return (
-            strings.norm(a), strings.norm_artist(a), (a or "").lower(), strings.norm(b), strings.norm_title(b), strings.norm(t), strings.norm_title(t), strings.track_identity(t),
+            strings.norm(a), strings.norm_artist(a), unicodedata.normalize("NFC", a or "").lower(), strings.norm(b), strings.norm_title(b), strings.norm(t), strings.norm_title(t), strings.track_identity(t),
             base, strings.track_identity(base), titles.credits(t), e.explicit, e.weak, e.ambiguous,
             e.name, strings.norm(e.name), e.undifferentiated, titles.album_kind(b or strings.NO_ALBUM, t or ""), titles.is_structural(t), titles.single_shaped(b, t),
         )
@@ -136,9 +138,13 @@ def explicit_era(album: Column) -> Column:
     return album.rlike(f"(?i){eras.STRONG}") | album.rlike(rf"(?i)[(\[](?:[^)\]]*[{space}])?(?:{words})[{space}]*[)\]]")
 
 
+#: Characters with a meaning in the query syntax of the release database.
+QUERY_SYNTAX = '\\+-!(){}[]^"~*?:/&|'
+
+
 def query_escape(text: Column) -> Column:
-    """A phrase for a Lucene query: backslashes and quotes escaped."""
-    return F.regexp_replace(text, r'([\\"])', r"\\$1")
+    """A phrase for a Lucene query: every character of its syntax escaped."""
+    return F.regexp_replace(text, "([" + "".join("\\" + c for c in QUERY_SYNTAX) + "])", r"\\$1")
 
 
 def library_link(user: Column, artist: Column, album: Column | None = None, track: Column | None = None) -> Column:
