@@ -320,12 +320,6 @@ def _lookup(spark, d):
     return rows.select("artist", "track", F.transform("gs", lambda x: x["g"]).alias("groups"))
 
 
-def similarity_ratio(spark, d):
-    names = _part(spark, d).select("p_name").distinct()
-    a, b = names.select(F.col("p_name").alias("a")), names.select(F.col("p_name").alias("b"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", keys.similar("a", "b").alias("ratio"))
-
-
 def d4_splits(spark, d):
     return albums.album_splits(_rest(spark, d))
 
@@ -403,6 +397,6 @@ QUERIES = {
     base_title, era_flags, era_partition, era_overview, d4_groups, d4_members, d4_decision, mbid_verdicts, d5_missing, d5_months, d6_dupes, d6_systemic, d7_casing, d8_titles, d8_joint, d8_field,
     d1_exact, d11_various, d12_bursts, d12_future, d14a_formats, d14c_multi_era, d14f_buckets, d15_album_artist, d16_candidates, album_chart, chart_rank, top_albums_per_artist, resolution_plan, by_artist,
     strategy_split, plan_estimates, match_tiers, match_tracks, recording_groups, album_groups, artist_albums, release_exists, cache_freshness, edit_distance_pairs, profile, summary_by_detector, bucket_scores,
-    landed_pages, resume_points, similarity_ratio, d4_splits, d1_variants, d8_features, d14a_variants, d0_targets, d5_resolved, d14e_released, d16_stranded, era_verified, chart_impact, chart_movers,
+    landed_pages, resume_points, d4_splits, d1_variants, d8_features, d14a_variants, d0_targets, d5_resolved, d14e_released, d16_stranded, era_verified, chart_impact, chart_movers,
     analyse_issues, hygiene_score, resolved_issues,
 )}
