@@ -9,8 +9,7 @@ out fewer bins than the best plan so far are cut.  Many equal bins are completed
 last pieces one bin at a time.  Best-fit decreasing gives the first plan to beat.
 
 Fewest bins are NP-hard, so the search ends at a lower bound (volume, and that of Martello and
-Toth), when all branches of its last `back` steps are done, or after `nodes` fillings; a plan then holds every piece all
-the same, and only its number of bins may be above the least.  Pieces learn their places from
+Toth), when all branches of its last `back` steps are done, or after `nodes` fillings; a plan then holds every piece all the same, and only its number of bins may be above the least.  Pieces learn their places from
 their rank among those of their length.
 
 Defined results: a null or empty text is the end id alone; texts longer than the capacity are
@@ -118,30 +117,24 @@ def _smear(bits: int, n: int) -> int:
     return bits
 
 
-def _dominated(filling: list[int], waste: int, stock: dict[int, int]) -> bool:
-    """Whether a piece outside the filling can stand for pieces in it that would fit into that piece."""
-    sums, single, outside = 1, 0, 0
+def _dominated(filling: list[int], waste: int, stock: dict[int, int], lengths: int) -> bool:
+    """Whether a piece outside the filling can stand for pieces in it that would fit into that piece.  lengths: those in stock, as bits."""
+    for x in set(filling):
+        if filling.count(x) == stock[x]:
+            lengths &= ~(1 << x)
+    pairs, seen, longer = 0, 1, 0
     for x in filling:
-        sums |= sums << x
-        single |= 1 << x
-    for x, n in stock.items():
-        if n > filling.count(x):
-            outside |= 1 << x
-    pairs = 0  # sums of two pieces or more
-    seen = 1
-    for x in filling:
-        pairs |= (seen & ~1) << x
+        pairs |= (seen & ~1) << x  # sums of two pieces or more
         seen |= seen << x
-    grown = _smear(single, waste) & ~single if waste else 0  # a longer piece for one
-    for x in filling:
-        grown |= (_smear(1 << x, waste) & ~(1 << x)) if waste else 0
-    fresh = _smear(1, waste) & ~1 if waste else 0  # one more piece
-    return bool(outside & (_smear(pairs, waste) | grown | fresh))
+        longer |= _smear(1 << x, waste) & ~(1 << x)
+    fresh = _smear(1, waste) & ~1  # one more piece
+    return bool(lengths & (_smear(pairs, waste) | longer | fresh))
 
 
-def fillings(stock: dict[int, int], room: int) -> Iterator[list[int]]:
-    """Undominated sets of pieces of the stock that fit the room, the least waste first, long pieces first.  None is left out."""
+def fillings(stock: dict[int, int], room: int) -> Iterator[list[int] | None]:
+    """Undominated sets of pieces of the stock that fit the room, the least waste first, long pieces first, with None for each dominated one."""
     lengths = sorted((x for x, n in stock.items() if n and x <= room), reverse=True)
+    there = sum(1 << x for x, n in stock.items() if n)
     full = (1 << room + 1) - 1
     reach = [1]  # sums that the lengths from some place on can make
     for x in reversed(lengths):
@@ -170,11 +163,10 @@ def fillings(stock: dict[int, int], room: int) -> Iterator[list[int]]:
     for total in range(room, -1, -1):
         if reach[0] >> total & 1:
             for found in make(0, total):
-                if not _dominated(found, room - total, stock):
-                    yield found
+                yield None if _dominated(found, room - total, stock, there) else found
 
 
-def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, tail: int = 64, nodes: int = 100_000, back: int = 128) -> list[tuple[Pattern, int]]:
+def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, tail: int = 64, nodes: int = 300_000, back: int = 128) -> list[tuple[Pattern, int]]:
     """Patterns and how often each is used; together they hold every piece counted.
 
     tail: from so many pieces on, bins are completed one at a time.  nodes: fillings tried before
@@ -191,7 +183,6 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, tail: int =
     stock, left, bins, waste = dict(counts), sum(counts.values()), 0, 0
     # a step back undoes its bins: (fillings still to try, pattern, how often, waste)
     trail: list[tuple[Iterator[list[int]] | None, Pattern, int, int]] = []
-    largest = lambda: max((x for x, n in stock.items() if n), default=0)
     ahead: Iterator[list[int]] | None = None
     spent = 0
     while spent < nodes or not trail:
@@ -202,16 +193,22 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, tail: int =
                 break
             choices = iter(())
         elif ahead is None:
-            top = largest()
+            top = max(stock)
             stock[top] -= 1
             choices = fillings(dict(stock), capacity - top)
             stock[top] += 1
+            spent += len(stock) // 50  # what the sums cost
         else:
             choices, ahead = ahead, None
-            top = largest()
-        found = next(choices, None)
+            top = max(stock)
+        found = next(choices, ())
         spent += 1
-        if found is not None:
+        while found is None and spent < nodes:
+            found = next(choices, ())
+            spent += 1
+        if found is None:  # nothing but dominated fillings before the end
+            break
+        if found != ():
             pattern = _pattern([top, *found])
             lost = capacity - top - sum(found)
             m = min(stock[x] // k for x, k in pattern) if left > tail else 1
@@ -220,6 +217,8 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, tail: int =
                 for x, k in pattern:
                     stock[x] -= m * k
                     left -= m * k
+                    if not stock[x]:
+                        del stock[x]
                 bins, waste = bins + m, waste + m * lost
                 trail.append((choices, pattern, m, m * lost))
                 if len(trail) > back:  # its fillings take memory, and no search of this length comes back so far
@@ -230,7 +229,7 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, tail: int =
             break
         ahead, pattern, m, lost = trail.pop()
         for x, k in pattern:
-            stock[x] += m * k
+            stock[x] = stock.get(x, 0) + m * k
             left += m * k
         bins, waste = bins - m, waste - lost
         if ahead is None:
