@@ -52,6 +52,20 @@ def take(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def row_key(id_: Column, text: Column) -> Column:
+    """A row is known by a hash of its id, null or not, and its text: rows that share it are alike in both."""
+    id_ = id_.cast("long")
+    return F.xxhash64(F.coalesce(id_, F.lit(0)), id_.isNull(), text)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def bucket_of_id(id_col: Column, modulus: int = 5) -> Column:
     """crc32 of the decimal id, modulo modulus."""
     return F.crc32(id_col.cast("string").cast("binary")) % modulus

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playtide.llm.common import bucket_of_id, chunked, materialise, read_table, record_batch, texts
+from playtide.llm.common import bucket_of_id, chunked, materialise, read_table, record_batch, row_key, texts, unused
 
 DEPTH = 3
 UND = "und"
@@ -233,5 +233,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A text without letters, or on which no language has `least` of the evidence, goes.
     """
     model = learn(docs, lang_col, text_col)
-    kept = predict(docs, model, id_col, text_col).filter((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col] == kept["__kept"], "left_semi")
+    row = unused(docs, "__row")
+    keyed = docs.withColumn(row, row_key(F.col(id_col), F.col(text_col).cast("string")))
+    kept = predict(keyed, model, row, text_col).filter((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(F.col("doc_id").alias(row)).distinct()
+    return keyed.join(kept, row, "left_semi").drop(row)

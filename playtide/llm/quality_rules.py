@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playtide.llm.common import WORD, materialise, read_table
+from playtide.llm.common import WORD, materialise, read_table, row_key, unused
 
 SPACES = " \t\n\x0b\x0c\r"
 #: Candidate thresholds by feature; a condition is "feature >= t" or "feature < t".
@@ -85,10 +85,11 @@ def statistics(text: Column) -> list[Column]:
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, the counts of COUNTS), by built-in expressions in one projection."""
-    inner = docs.select(F.col(id_col).cast("long").alias("doc_id"), *statistics(F.col(text_col).cast("string")))
+    """(doc_id, row, the counts of COUNTS), by built-in expressions in one projection; row is a hash of the id and the text."""
+    text = F.col(text_col).cast("string")
+    inner = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(id_col), text).alias("row"), *statistics(text))
     nested = {"n_words": "of_words", "n_repeat_words": "of_words", "n_lines": "of_lines", "n_dup_lines": "of_lines"}
-    return inner.select("doc_id", *[F.col(f"{nested[c]}.{c}" if c in nested else c).cast("long").alias(c) for c in COUNTS])
+    return inner.select("doc_id", "row", *[F.col(f"{nested[c]}.{c}" if c in nested else c).cast("long").alias(c) for c in COUNTS])
 
 
 def features() -> dict[str, Column]:
@@ -224,5 +225,6 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents that the rules keep.  Short texts are no fault here; texts without a word are."""
     out, _ = judge(docs, labels, id_col, text_col, min_words=1)
-    kept = out.filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col] == kept["__kept"], "left_semi")
+    row = unused(docs, "__row")
+    kept = out.filter("kept").select(F.col("row").alias(row)).distinct()
+    return docs.withColumn(row, row_key(F.col(id_col), F.col(text_col).cast("string"))).join(kept, row, "left_semi").drop(row)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playtide.llm.common import chunked, materialise, record_batch, take, texts
+from playtide.llm.common import chunked, materialise, record_batch, row_key, take, texts, unused
 from playtide.llm.graph import connected_components
 
 SEED = 42
@@ -249,8 +249,17 @@ def op4_simhash_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without the near copies (five-word shingles alike to 0.8): of each component the one with the smallest id stays."""
-    from playtide.llm.similar import similar_documents
+    """The documents without the near copies (five-word shingles alike to 0.8): of each component the one with the smallest id stays.
 
-    found = similar_documents(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(found, docs[id_col] == found["__kept"], "left_semi")
+    A row without an id stays only where no row of its component has one; of rows with the same id
+    and text one stays.
+    """
+    from playtide.llm.similar import node_of, similar_documents
+
+    found = similar_documents(docs, id_col, text_col)
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("x"))
+    row = unused(docs, "__row")
+    kept = first.select(row_key(F.col("x.doc_id"), F.col("x.node")).alias(row))
+    keyed = docs.withColumn(row, row_key(F.col(id_col), node_of(F.col(text_col).cast("string"))))
+    # the join has dealt rows by the key, so one of each is kept without another shuffle
+    return keyed.join(kept, row, "left_semi").dropDuplicates([row]).drop(row)

@@ -19,16 +19,15 @@ other; an empty table gives no rows; columns other than the id and the text are
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playtide.llm.common import chunked, ragged_take, read_table, record_batch, texts
+from playtide.llm.common import chunked, ragged_take, read_table, record_batch, row_key, texts, unused
 
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 _ALL = np.uint64((1 << 40) - 1)
@@ -268,15 +267,9 @@ def _trees(suffixes: DataFrame, width: int, budget: int) -> DataFrame:
     return suffixes.repartition("route").sortWithinPartitions("route").mapInArrow(run, "doc_id long, pos long, mask long")
 
 
-def _row_key(id_col: str, text_col: str) -> Column:
-    """A row is known by a hash of its id, null or not, and its text: rows that share it are alike in both."""
-    id_ = F.col(id_col).cast("long")
-    return F.xxhash64(F.coalesce(id_, F.lit(0)), id_.isNull(), F.col(text_col).cast("string"))
-
-
 def _by_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text, id): doc_id is the row's key, id the id itself."""
-    return docs.select(_row_key(id_col, text_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id"))
+    return docs.select(row_key(F.col(id_col), F.col(text_col).cast("string")).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -288,7 +281,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, k: int = 6, budget: int = 50_000) -> DataFrame:
     """(doc_id, pos, mask): the windows that occur anywhere else; bit b stands for the one at pos + b.
 
-    doc_id is the row's key (_row_key).  budget: suffix rows a task holds at once; a prefix with
+    doc_id is the row's key (row_key).  budget: suffix rows a task holds at once; a prefix with
     more is lengthened.
     """
     if width - k + 1 > 63 or width <= k:
@@ -340,16 +333,17 @@ def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     Texts that lose no word keep their white space too; length_col, if named, gets the code
     points of a changed text.
     """
-    key = _row_key(id_col, text_col).alias("__id")
-    found = repeated_windows(docs, id_col, text_col, width).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("pos").alias("__pos"), F.collect_list("mask").alias("__mask"))
-    joined = docs.select("*", key).repartition("__id").join(found, "__id", "left").drop("__id")
+    id_, pos_, mask_ = (unused(docs, n) for n in ("__id", "__pos", "__mask"))
+    key = row_key(F.col(id_col), F.col(text_col).cast("string")).alias(id_)
+    found = repeated_windows(docs, id_col, text_col, width).groupBy(F.col("doc_id").alias(id_)).agg(F.collect_list("pos").alias(pos_), F.collect_list("mask").alias(mask_))
+    joined = docs.select("*", key).repartition(id_).join(found, id_, "left").drop(id_)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches, column=text_col):
             out = []
             lengths = batch.column(length_col).to_pylist() if length_col else []
-            for i, (t, pos, mask) in enumerate(zip(batch.column(text_col).to_pylist(), batch.column("__pos").to_pylist(), batch.column("__mask").to_pylist(), strict=True)):
+            for i, (t, pos, mask) in enumerate(zip(batch.column(text_col).to_pylist(), batch.column(pos_).to_pylist(), batch.column(mask_).to_pylist(), strict=True)):
                 if pos:
                     words = t.encode().split()
                     gone = removed_words(len(words), pos, mask, width)
@@ -370,10 +364,6 @@ def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
-
-
 #: The same in DuckDB: windows as joined words, those that occur twice, the words they cover.
 ORACLE = r"""
 WITH d AS (
