@@ -187,7 +187,7 @@ def _suffixes(docs: DataFrame, width: int, k: int) -> DataFrame:
 
 
 def deep_nodes(node: np.ndarray, at: np.ndarray, words: np.ndarray, width: int, edge: int = 5) -> np.ndarray:
-    """Which suffixes lie below an inner node `width` words deep.
+    """The inner node `width` words deep that each suffix lies below, or -1 where there is none.
 
     node: the subtree each suffix starts in; at: its place in words.  Nodes are split top-down,
     `edge` words at a time, and suffixes that are alone in theirs leave at once.
@@ -203,8 +203,8 @@ def deep_nodes(node: np.ndarray, at: np.ndarray, words: np.ndarray, width: int,
         stay = n[inverse] > 1
         live, node = live[stay], inverse[stay]
         depth += step
-    found = np.zeros(len(at), dtype=bool)
-    found[live] = True
+    found = np.full(len(at), -1, dtype=np.int64)
+    found[live] = node
     return found
 
 
@@ -212,7 +212,8 @@ def _trees(suffixes: DataFrame, width: int, budget: int) -> DataFrame:
     """(doc_id, pos, mask): windows known to repeat, the tree of each route built in turn."""
     schema = pa.schema([("doc_id", pa.int64()), ("pos", pa.int64()), ("mask", pa.int64())])
 
-    def grow(batch: pa.Table) -> pa.RecordBatch:
+    def grow(batch: pa.Table) -> tuple[pa.RecordBatch, pa.Table]:
+        """The windows that repeat, and the rows with one of each window left: they stand for the others where more rows follow."""
         route, lead = batch.column("route").to_numpy(), batch.column("lead").to_numpy()
         mask = batch.column("mask").to_numpy().view(np.uint64)
         blobs = batch.column("words").to_pylist()
@@ -228,26 +229,41 @@ def _trees(suffixes: DataFrame, width: int, budget: int) -> DataFrame:
         row, at, shift = row[placed], at[placed], shift[placed]
         # windows of a route are alike only with the k-gram at the same place in them
         node = _mix(route[row].view(np.uint64) ^ _mix((lead[row] - shift.astype(np.int64)).view(np.uint64)))
-        found = deep_nodes(node, at, flat.reshape(-1).view(np.uint64), width)
-        bits = np.zeros(len(blobs), dtype=np.uint64)
-        np.bitwise_or.at(bits, row[found], np.uint64(1) << shift[found])
-        some = np.flatnonzero(bits)
-        return record_batch(schema, {"doc_id": batch.column("doc_id").to_numpy()[some], "pos": batch.column("pos").to_numpy()[some], "mask": bits[some].view(np.int64)})
+        deep = deep_nodes(node, at, flat.reshape(-1).view(np.uint64), width)
+
+        def masks(which: np.ndarray) -> np.ndarray:
+            bits = np.zeros(len(blobs), dtype=np.uint64)
+            np.bitwise_or.at(bits, row[which], np.uint64(1) << shift[which])
+            return bits.view(np.int64)
+
+        found = deep >= 0
+        one = ~found
+        one[np.flatnonzero(found)[np.unique(deep[found], return_index=True)[1]]] = True
+        bits, left = masks(found), masks(one)
+        some, stay = np.flatnonzero(bits), np.flatnonzero(left)
+        repeats = record_batch(schema, {"doc_id": batch.column("doc_id").to_numpy()[some], "pos": batch.column("pos").to_numpy()[some], "mask": bits[some]})
+        rest = batch.take(pa.array(stay))
+        return repeats, rest.set_column(rest.schema.get_field_index("mask"), "mask", pa.array(left[stay]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-        rows = 0
+        rows, full = 0, budget
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, rows
+            nonlocal held, rows, full
             if not held:
                 return
             table = pa.concat_tables(held)
             route = table.column("route").to_numpy()
             cut = len(route) if last else int(np.searchsorted(route, route[-1]))
             if cut:
-                yield grow(table.slice(0, cut).combine_chunks())
-            held, rows = ([table.slice(cut)] if cut < len(route) else []), len(route) - cut
+                yield grow(table.slice(0, cut).combine_chunks())[0]
+            rest = table.slice(cut)
+            if 2 * rest.num_rows > budget:  # one prefix fills the task: one copy of each window is enough of it
+                repeats, rest = grow(rest.combine_chunks())
+                yield repeats
+            held, rows = ([rest] if rest.num_rows else []), rest.num_rows
+            full = max(budget, 2 * rows)
 
         for batch in batches:
             if not batch.num_rows:
@@ -260,7 +276,7 @@ def _trees(suffixes: DataFrame, width: int, budget: int) -> DataFrame:
             if batch.num_rows:
                 held.append(pa.Table.from_batches([batch]))
                 rows += batch.num_rows
-                if rows >= budget:
+                if rows >= full:
                     yield from flush(False)
         yield from flush(True)
 
