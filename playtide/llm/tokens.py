@@ -153,7 +153,7 @@ class PieceEncoder:
         return self.whole.encode(text, add_special_tokens=False).ids
 
     def _forget_pieces(self) -> None:
-        self.pieces, self.runs_of = _Numbers(), _Lists()
+        self.pieces, self.runs_of, self.row = _Numbers(), _Lists(), np.zeros(0, dtype=np.int64)
 
     def _forget_runs(self) -> None:
         self.runs, self.ids_of = _Numbers(), _Lists()
@@ -184,19 +184,31 @@ class PieceEncoder:
         return runs
 
     def _learn(self) -> None:
-        number = self.runs.__getitem__
-        flat: list[int] = []
-        counts: list[int] = []
+        number, new = self.runs.__getitem__, self.pieces.new
+        # most are one run, or one and a mark
+        least = "\x80" if self.fold else "ɐ"
+        whole = [i for i, k in enumerate(new) if k.isalpha() and max(k) < least]
+        one = np.zeros(len(new), dtype=bool)
+        one[whole] = True
+        rest = np.flatnonzero(~one).tolist()
+        flat = list(map(number, [new[i].lower() for i in whole] if self.fold else [" " + new[i] for i in whole]))
+        runs: list[str] = []
+        counts = []
         lead = "" if self.fold else " "
-        for key in self.pieces.new:
-            if key.isascii() and key.isalpha():  # most are: a single run
-                flat.append(number(lead + (key.lower() if self.fold else key)))
-                counts.append(1)
-                continue
-            runs = self._cut_runs(key)
-            flat += map(number, runs)
-            counts.append(len(runs))
-        self.runs_of.add(flat, counts)
+        for key in map(new.__getitem__, rest):
+            word, mark = key[:-1], key[-1]
+            if mark in ".,;:?!" and word.isalpha() and max(word) < least:
+                runs += (lead + (word.lower() if self.fold else word), mark)
+                counts.append(2)
+            else:
+                found = self._cut_runs(key)
+                runs += found
+                counts.append(len(found))
+        row = np.empty(len(new), dtype=np.int64)
+        row[whole] = np.arange(len(whole))
+        row[rest] = np.arange(len(whole), len(new))
+        self.row = np.concatenate((self.row, row + self.runs_of.rows))
+        self.runs_of.add(flat + list(map(number, runs)), [1] * len(whole) + counts)
         self.pieces.new = []
         new = self.runs.new
         for i in range(0, len(new), 10_000):
@@ -222,7 +234,7 @@ class PieceEncoder:
                 sizes[i] = len(pieces)
                 parts.append(np.fromiter(map(number, pieces), dtype=np.int32, count=len(pieces)))
         self._learn()
-        runs, n = self.runs_of.take(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32))
+        runs, n = self.runs_of.take(self.row[np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)])
         ids, m = self.ids_of.take(runs)
         per_piece = np.concatenate(([0], np.cumsum(n)))
         per_run = np.concatenate(([0], np.cumsum(m)))
