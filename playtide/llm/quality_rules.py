@@ -1,10 +1,12 @@
 """Quality rules: a decision list learned by sequential covering, applied as a Spark expression.
 
-Statistics of each text are built-in expressions only.  Labelled rows are counted by cells of a
-fixed threshold grid, so the driver gets a table bounded by the grid and not by the corpus (all
-labelled rows count, no sample is taken).  On the cells, rules are grown one condition at a
-time by information gain and pruned on held-back folds; the list is emitted as one ordered
-CASE expression that can be read and audited.
+Statistics of each text are built-in expressions only.  Thresholds come from the labelled rows: each
+feature is cut where that tells most about the label, at midpoints between its quantiles, as long
+as the cut is worth its description.  Labelled rows are then counted by cells of these cuts, so
+the driver gets a table bounded by the cuts and not by the corpus (all labelled rows count, no
+sample is taken).  On the cells, rules are grown one condition at a time by information gain and
+pruned on held-back folds; the list is emitted as one ordered CASE expression that can be read
+and audited.
 
 Defined results: a null, empty or blank text has no words, all counts zero, and fails the base
 rules; with no labelled rows no rule is learned and the base rules decide; repeated labels each
@@ -16,13 +18,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playtide.llm.common import WORD, materialise, read_table, row_key, unused
 
 SPACES = " \t\n\x0b\x0c\r"
-#: Candidate thresholds by feature; a condition is "feature >= t" or "feature < t".
+#: Thresholds by feature where none are learned; a condition is "feature >= t" or "feature < t".
 GRID: dict[str, tuple[float, ...]] = {
     "symbols_per_word": (0.02, 0.05, 0.1, 0.2, 0.5, 1.0),
     "upper_share": (0.1, 0.2, 0.3, 0.5, 0.7),
@@ -109,6 +112,9 @@ def base_failed(min_words: int = 50, max_repeat_percent: int = 50) -> Column:
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
 
 
+Grid = dict[str, tuple[float, ...]]
+
+
 @dataclass(frozen=True)
 class Condition:
     feature: str
@@ -119,10 +125,9 @@ class Condition:
         x = features()[self.feature]
         return x >= self.threshold if self.at_least else x < self.threshold
 
-    def holds(self, cell: dict) -> bool:
-        """cell[feature] is the number of thresholds reached."""
-        reached = cell[self.feature] > GRID[self.feature].index(self.threshold)
-        return reached == self.at_least
+    def holds(self, reached: np.ndarray, grid: Grid) -> np.ndarray:
+        """reached: how many thresholds of the feature each cell reaches."""
+        return (reached > grid[self.feature].index(self.threshold)) == self.at_least
 
     def __str__(self) -> str:
         return f"{self.feature} {'>=' if self.at_least else '<'} {self.threshold:g}"
@@ -131,48 +136,125 @@ class Condition:
 Rule = tuple[Condition, ...]
 
 
-def label_cells(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", folds: int = 3) -> list[dict]:
-    """Counts of labelled rows by grid cell, label and fold (crc32 of the id)."""
+def _entropy(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Bits that the labels of so many rows take."""
+    n = bad + good
+    with np.errstate(divide="ignore", invalid="ignore"):
+        bits = -(bad * np.log2(bad / n) + good * np.log2(good / n))
+    return np.where((bad > 0) & (good > 0), bits, 0.0)
+
+
+def cuts(bad: np.ndarray, good: np.ndarray, most: int = 5) -> list[int]:
+    """Levels at which rows counted by level are cut, so that the labels of the parts take the fewest bits; most at a time, and only cuts that save more than they cost."""
+    parts, found = [(0, len(bad))], []
+    while len(found) < most:
+        best = None
+        for i, j in parts:
+            p, q = np.cumsum(bad[i:j])[:-1], np.cumsum(good[i:j])[:-1]
+            n, m = bad[i:j].sum(), good[i:j].sum()
+            if not len(p) or not n or not m:
+                continue
+            saved = _entropy(np.array([n]), np.array([m]))[0] - _entropy(p, q) - _entropy(n - p, m - q)
+            k = int(np.argmax(saved))
+            # a cut costs its place among the rows, and the label shares of one part more
+            if saved[k] > math.log2(n + m) + 2 and (best is None or saved[k] > best[0]):
+                best = saved[k], i, i + k + 1, j
+        if best is None:
+            break
+        _, i, k, j = best
+        parts.remove((i, j))
+        parts += [(i, k), (k, j)]
+        found.append(k)
+    return sorted(found)
+
+
+def learn_grid(rows: DataFrame, quantiles: int = 128) -> Grid:
+    """Thresholds of each feature for rows(the counts, bad)."""
+    shares = [i / quantiles for i in range(quantiles + 1)]
+    names = list(features())
+    found = rows.agg(*[F.percentile_approx(x, shares, 10_000).alias(f) for f, x in features().items()]).first()
+    middles: Grid = {}
+    for f in names:
+        values = sorted(set(found[f] or []))
+        middles[f] = tuple((a + b) / 2 for a, b in zip(values, values[1:], strict=False))
+    if not any(middles.values()):
+        return {f: () for f in names}
+    # a row's level is the number of middles it reaches
+    level = lambda f, x: F.size(F.filter(F.array(*map(F.lit, middles[f])), lambda t: x >= t))
+    levels = F.array(*[F.struct(F.lit(f).alias("f"), level(f, x).alias("level")) for f, x in features().items() if middles[f]])
+    counted = rows.select("bad", F.explode(levels).alias("x")).groupBy("x.f", "x.level", "bad").count().collect()  # features x quantiles x labels at most
+    grid: Grid = {}
+    for f in names:
+        table = np.zeros((2, len(middles[f]) + 1))
+        for r in counted:
+            if r["f"] == f:
+                table[0 if r["bad"] else 1, r["level"]] += r["count"]
+        grid[f] = tuple(middles[f][k - 1] for k in cuts(*table))
+    return grid
+
+
+def labelled(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", folds: int = 3) -> DataFrame:
+    """Statistics of labelled rows, with the label (bad) and the fold (held, by the crc32 of the id)."""
     label = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label IS NOT NULL")
-    cell = [sum((x >= t).cast("int") for t in GRID[f]).alias(f) for f, x in features().items()]
     held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0).alias("held")
-    rows = stats.join(label, "doc_id").select(*cell, held, (F.col("label") == 0).alias("bad"))
-    return [r.asDict() for r in rows.groupBy(*GRID, "held", "bad").count().collect()]
+    return stats.join(label, "doc_id").select(*COUNTS, held, (F.col("label") == 0).alias("bad"))
+
+
+def label_cells(rows: DataFrame, grid: Grid) -> list[dict]:
+    """Counts of labelled rows by cell, label and fold."""
+    cell = [sum(((x >= t).cast("int") for t in grid[f]), F.lit(0)).alias(f) for f, x in features().items()]
+    return [r.asDict() for r in rows.select(*cell, "held", "bad").groupBy(*grid, "held", "bad").count().collect()]
+
+
+class _Cells:
+    """Cells as arrays: thresholds reached by feature, and rows by label."""
+
+    def __init__(self, reached: dict[str, np.ndarray], bad: np.ndarray, good: np.ndarray, grid: Grid):
+        self.reached, self.bad, self.good, self.grid = reached, bad, good, grid
+
+    @classmethod
+    def of(cls, cells: list[dict], grid: Grid) -> _Cells:
+        n = np.array([c["count"] for c in cells], dtype=np.float64)
+        bad = np.array([bool(c["bad"]) for c in cells], dtype=bool)
+        return cls({f: np.array([c[f] for c in cells], dtype=np.int64) for f in grid}, np.where(bad, n, 0), np.where(bad, 0, n), grid)
+
+    def where(self, mask: np.ndarray) -> _Cells:
+        return _Cells({f: x[mask] for f, x in self.reached.items()}, self.bad[mask], self.good[mask], self.grid)
 
+    def covered(self, rule: Rule) -> np.ndarray:
+        mask = np.ones(len(self.bad), dtype=bool)
+        for c in rule:
+            mask &= c.holds(self.reached[c.feature], self.grid)
+        return mask
 
-def _weigh(cells: list[dict], rule: Rule) -> tuple[int, int]:
-    good = bad = 0
-    for c in cells:
-        if all(x.holds(c) for x in rule):
-            if c["bad"]:
-                bad += c["count"]
-            else:
-                good += c["count"]
-    return bad, good
+    def weigh(self, rule: Rule = ()) -> tuple[float, float]:
+        mask = self.covered(rule)
+        return self.bad[mask].sum(), self.good[mask].sum()
 
 
-def _grow(cells: list[dict]) -> Rule:
-    every = [Condition(f, side, t) for f, ts in GRID.items() for t in ts for side in (True, False)]
+def _grow(cells: _Cells) -> Rule:
     rule: Rule = ()
-    inside = cells
-    p, n = _weigh(inside, ())
+    p, n = cells.weigh()
     while n and p:
         best, gain = None, 1e-9
-        for c in every:
-            q, m = _weigh(inside, (c,))
-            if q and (g := q * (math.log2(q / (q + m)) - math.log2(p / (p + n)))) > gain:
-                best, gain = c, g
+        for f, ts in cells.grid.items():
+            bad, good = (np.bincount(cells.reached[f], weights=w, minlength=len(ts) + 1) for w in (cells.bad, cells.good))
+            for k, t in enumerate(ts):
+                above = bad[k + 1 :].sum(), good[k + 1 :].sum()
+                for side, (q, m) in ((True, above), (False, (p - above[0], n - above[1]))):
+                    if q and (g := q * (math.log2(q / (q + m)) - math.log2(p / (p + n)))) > gain:
+                        best, gain = Condition(f, side, t), g
         if best is None:
             break
         rule += (best,)
-        inside = [c for c in inside if best.holds(c)]
-        p, n = _weigh(inside, ())
+        cells = cells.where(cells.covered((best,)))
+        p, n = cells.weigh()
     return rule
 
 
-def _prune(cells: list[dict], rule: Rule) -> Rule:
+def _prune(cells: _Cells, rule: Rule) -> Rule:
     def worth(r: Rule) -> float:
-        p, n = _weigh(cells, r)
+        p, n = cells.weigh(r)
         return (p - n) / (p + n) if p + n else -1.0
 
     while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
@@ -180,21 +262,23 @@ def _prune(cells: list[dict], rule: Rule) -> Rule:
     return rule
 
 
-def learn_rules(cells: list[dict], min_precision: float = 0.9, max_rules: int = 12) -> list[Rule]:
-    """Ordered rules that reject; each covers bad rows that those before it leave."""
+def learn_rules(cells: list[dict], grid: Grid | None = None, min_precision: float = 0.9, least_share: float = 0.002) -> list[Rule]:
+    """Ordered rules that reject; each covers bad rows that those before it leave, at least two and `least_share` of all of them."""
+    grid = grid or GRID
     rules: list[Rule] = []
-    left = list(cells)
-    while len(rules) < max_rules:
-        grow, held = [c for c in left if not c["held"]], [c for c in left if c["held"]]
-        rule = _grow(grow)
+    left, held = _Cells.of(cells, grid), np.array([bool(c["held"]) for c in cells], dtype=bool)
+    least = max(2.0, least_share * left.bad.sum())
+    while True:
+        rule = _grow(left.where(~held))
         if not rule:
             break
-        rule = _prune(held, rule) if held else rule
-        p, n = _weigh(left, rule)
-        if p < 2 or p < min_precision * (p + n):
+        rule = _prune(left.where(held), rule) if held.any() else rule
+        p, n = left.weigh(rule)
+        if p < least or p < min_precision * (p + n):
             break
         rules.append(rule)
-        left = [c for c in left if not all(x.holds(c) for x in rule)]
+        mask = ~left.covered(rule)
+        left, held = left.where(mask), held[mask]
     return rules
 
 
@@ -213,7 +297,9 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(doc_id, counts, base_failed, kept) and the rules; learned from labelled rows that pass the base."""
     stats = materialise(document_statistics(docs, id_col, text_col), "statistics")
     failed = base_failed(min_words)
-    rules = learn_rules(label_cells(stats.filter(~failed), labels, label_col, id_col))
+    rows = materialise(labelled(stats.filter(~failed), labels, label_col, id_col), "labelled")
+    grid = learn_grid(rows)
+    rules = learn_rules(label_cells(rows, grid), grid)
     return stats.select("*", failed.alias("base_failed"), (~failed & verdict(rules)).alias("kept")), rules
 
 
