@@ -102,6 +102,8 @@ class PieceEncoder:
 
     _kept: dict = {}
     _idle: threading.Timer | None = None
+    _busy = False
+    _lock = threading.Lock()
 
     def __init__(self, path: str, fold: bool | None = None, pieces: int = 400_000, runs: int = 1_000_000, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -124,6 +126,8 @@ class PieceEncoder:
     @classmethod
     def shared(cls, path: str) -> PieceEncoder:
         """The encoder of this worker process."""
+        with cls._lock:
+            cls._busy = True
         if cls._idle is not None:
             cls._idle.cancel()
         found = cls._kept.get(path)
@@ -133,15 +137,21 @@ class PieceEncoder:
         return found
 
     @classmethod
-    def rest(cls, seconds: float = 4.0) -> None:
-        """A task is done: tables are given back unless the worker's next task asks for them soon."""
+    def rest(cls, seconds: float = 20.0) -> None:
+        """A task is done: its tables are given back unless another task of this worker asks for them soon."""
         if cls._idle is not None:
             cls._idle.cancel()
 
         def free() -> None:
-            cls._kept.clear()
+            with cls._lock:
+                if cls._busy:
+                    return
+                for encoder in cls._kept.values():
+                    encoder._forget_pieces()
+                    encoder._forget_runs()
             give_back()
 
+        cls._busy = False
         cls._idle = threading.Timer(seconds, free)
         cls._idle.daemon = True
         cls._idle.start()

@@ -59,3 +59,20 @@ def test_operators_recognise_special_tokens(spark):
     assert got == {i: [*word.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(MARKED)}
     got = {r.doc_id: r.length for r in packing.cut(docs).collect()}
     assert got == {i: len(byte.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(MARKED)}
+
+
+def test_tables_are_given_back_when_idle_and_not_before(corpus):
+    import time
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [x or "" for _, x in corpus]
+    encoder = PieceEncoder.shared(path)
+    want = ids_of(encoder, texts, 0)
+    PieceEncoder.rest(0.2)
+    assert PieceEncoder.shared(path) is encoder and encoder.pieces
+    time.sleep(0.5)
+    assert encoder.pieces  # a task has it
+    PieceEncoder.rest(0.1)
+    time.sleep(0.5)
+    assert not encoder.pieces and not encoder.runs
+    assert ids_of(PieceEncoder.shared(path), texts, 0) == want
