@@ -70,7 +70,7 @@ def released_since(era: DataFrame, lookup: DataFrame) -> DataFrame:
     stream, g = F.coalesce(F.col("g.source") == "spotify", F.lit(False)), F.col("g")
     return issue(
         best, "D14e", **{"class": "split"}, confidence=F.when(stream, 0.6).otherwise(0.35), artist=F.col("artist"), track=F.col("track"), plays_affected=F.col("total"), external=g, no_auto_action=True, emit_ord=F.col("seq"),
-        title=text("Possibly released since: ", F.col("artist"), " - ", F.col("track")),
+        title=text(F.col("artist"), " - ", F.col("track"), " may be out by now"),
         suggest=text(g["primary"], " '", g["title"], "' (", g["first_release"], ") lists this title", F.when(stream, ", and it can be streamed now.").otherwise(", by MusicBrainz, which lists leaks too."), " It may be another mix. Your plays run ", keys.month_name(F.col("first")), " to ", keys.month_name(F.col("last")), "."),
         members=F.transform("eras", lambda e: member(era=e["era_name"], plays=e["plays"])),
     )
@@ -115,7 +115,7 @@ def stranded_singles(candidates: DataFrame, lookup: DataFrame, owned: DataFrame,
     return issue(
         d, "D16", **{"class": "review"}, style_choice=True, confidence=conf, artist=h["artist"], album=h["target"], plays_affected=F.col("total"), chart_already_correct=~F.col("held"), released=h["released"], emit_ord=h["seq"],
         evidence=F.create_map(*[F.lit(x) for p in NOTES.items() for x in p])[F.col("source")], evidence_source=F.col("source"),
-        title=text(n, " track", plural(n), " you only played as a single ", F.when(n == 1, "is").otherwise("are"), " on '", h["target"], "'"),
+        title=text("'", h["target"], "' has ", n, " track", plural(n), " that you know as singles only"),
         suggest=text("'", h["target"], "'", F.when(h["released"] != "", text(" (", h["released"], ")")).otherwise(""), " holds ", F.when(n == 1, "it").otherwise("them"), ", while ", F.col("total"), " play", plural(F.col("total")), " sit under singles. ",
                      F.when(F.col("held"), "You have plays on that album, so re-tagging merges into it.").otherwise("You have no plays on that album, so this would add a chart entry."),
                      F.when(F.col("source") == "lastfm", " Only the service's own, editable data says so.").otherwise(""), F.when(h["disagreed"] != "", text(" The service calls it '", h["disagreed"], "'.")).otherwise("")),
@@ -150,7 +150,7 @@ def verify_era_names(issues: DataFrame, exists: DataFrame) -> DataFrame:
     new = {
         "confidence": pick("confidence", unknown=0.25, other=0.85, rarer=0.4, neither=0.3),
         "class": pick("class", unknown=F.col("class"), other=F.lit("error"), rarer=F.lit("review"), neither=F.col("class")),
-        "title": F.when(F.col("__s") == "other", text("Era name not found in MusicBrainz for ", v["artist"], ": '", aa, "'")).otherwise(F.col("title")).alias("title"),
+        "title": F.when(F.col("__s") == "other", text("No release of ", v["artist"], " is called '", aa, "'")).otherwise(F.col("title")).alias("title"),
         "suggest": pick("suggest", unknown=text("Could not be checked this run, so unconfirmed either way.", both), other=text("'", v["b"], "' is a release and '", v["a"], "' is not: likely a typo or a wrong era name. Compare '", ba, "'."),
                         rarer=text("'", v["a"], "' is a release and '", v["b"], "' is not: the rarer spelling is the real one.", both), neither=text("Neither is a release, as is usual for unreleased projects.", both)),
         "verify": F.lit(None).cast(dict(issues.dtypes)["verify"]).alias("verify"),

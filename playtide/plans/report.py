@@ -60,6 +60,13 @@ class Report:
     era: DataFrame
     impact: DataFrame
     summary_by_detector: DataFrame
+    found: DataFrame | None = None
+
+    def release(self) -> None:
+        """Give back what the run has kept; the report can still be read, from the plays."""
+        self.cells.unpersist()
+        if self.found is not None:
+            self.found.unpersist()
 
     def write(self, path: str) -> None:
         """Each part as Parquet under path."""
@@ -90,5 +97,5 @@ def analyse(plays: DataFrame, now: int, official: DataFrame | None = None, top_a
     if persist:
         issues = issues.persist(StorageLevel.MEMORY_AND_DISK)
     return Report(
-        cells, splits, rank_issues(issues), profile(plays), chart.hygiene_score(issues, score_totals(cells)), unreleased.overview(cells), chart.chart_impact(rest, splits), summary_by_detector(issues)
+        cells, splits, rank_issues(issues), profile(plays), chart.hygiene_score(issues, score_totals(cells)), unreleased.overview(cells), chart.chart_impact(rest, splits), summary_by_detector(issues), issues
     )
