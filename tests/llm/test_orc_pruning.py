@@ -37,7 +37,7 @@ def test_stripes_are_read_apart(spark, tmp_path):
     import pyarrow.orc
 
     path = f"{tmp_path}/t"
-    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 60), i -> sha2(cast(id * 100 + i as string), 256)), ' ')").alias("text"))
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 12), i -> sha2(cast(id * 100 + i as string), 256)), ' ')").alias("text"))
     (
         orc_tokens.encode(docs.repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id"))
         .write.option("orc.stripe.size", str(1 << 20)).option("orc.bloom.filter.columns", "doc_id").orc(f"file://{path}")
@@ -46,7 +46,7 @@ def test_stripes_are_read_apart(spark, tmp_path):
     found = pyarrow.orc.ORCFile(file)
     assert found.nstripes > 1
     ids = [found.read_stripe(i, columns=["doc_id"])["doc_id"].to_pylist() for i in range(found.nstripes)]
-    assert [x for part in ids for x in part] == list(range(3000))
+    assert [x for part in ids for x in part] == list(range(12_000))
 
 
 def test_the_query_on_nulls_repeats_and_a_long_text(spark, tmp_path):
