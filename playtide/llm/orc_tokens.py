@@ -1,9 +1,8 @@
 """Token ids in ORC: integer run-length encoding, row indexes and Bloom filters on ids.
 
-Documents are encoded where they are read; their ids, which are smaller than the texts, are dealt
-by ranges of doc_id, sorted inside each and written by Spark's ORC writer: one file a range, stripes
-readable on their own, doc_id ascending within and across files, so that row-index minima and maxima
-and the Bloom filters prune a lookup by id.
+Documents are dealt by ranges of doc_id, sorted inside each, encoded and written by Spark's ORC
+writer: one file a range, stripes readable on their own, doc_id ascending within and across
+files, so that row-index minima and maxima and the Bloom filters prune a lookup by id.
 
 Defined results: a null text is empty and holds the end id alone; repeated rows and equal ids
 are stored as often as they occur, side by side; an empty table gives an empty file set; extra
@@ -17,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from playtide.llm.common import chunked, read_table, record_batch, shared_path, take
@@ -32,40 +31,41 @@ def _tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end: int = END, bounds: list[int] | None = None) -> DataFrame:
-    """(doc_id, ids): the ids of each text with the end id.  tokenizer: a file every executor has.
-
-    With bounds, also `part`: how many of them are below the doc_id (none below null).
-    """
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end: int = END) -> DataFrame:
+    """(doc_id, ids): the ids of each text with the end id.  tokenizer: a file every executor has."""
     path = tokenizer or _tokenizer()
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), *([("part", pa.int32())] if bounds is not None else [])])
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.shared(path)
         for batch in chunked(batches):
             ids, n = encoder.encode([t or "" for t in batch.column("text").to_pylist()], end)
             offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-            out = {"doc_id": batch.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))}
-            if bounds is not None:
-                doc = batch.column("doc_id")
-                part = np.searchsorted(np.array(bounds, dtype=np.int64), doc.fill_null(0).to_numpy())
-                out["part"] = np.where(doc.is_null().to_numpy(zero_copy_only=False), 0, part).astype(np.int32)
-            yield record_batch(schema, out)
+            yield record_batch(schema, {"doc_id": batch.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))})
         PieceEncoder.rest()
 
-    return take(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>" + (", part int" if bounds is not None else ""))
+    return take(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+
+
+def _place(x: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are below x, by bisection; none below null."""
+    at, n = F.array(*map(F.lit, bounds)), len(bounds)
+    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
+    further = lambda pos, step: (pos + step <= n) & (F.get(at, pos + step - 1) < F.coalesce(x, F.lit(-(1 << 63))))
+    return F.aggregate(steps, F.lit(0), lambda pos, step: F.when(further(pos, step), pos + step).otherwise(pos))
 
 
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end: int = END, files: int | None = None) -> None:
     """Write (doc_id, ids) as ORC under path, ascending by doc_id within and across files."""
     rows = take(docs, id_col, text_col)
     files = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # the ids alone are read for the bounds, and are not sampled
+    # for the bounds the ids alone are read, without the texts
     shares = [i / files for i in range(1, files)]
-    bounds = rows.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * files))).first()[0] if shares else []
-    encoded = encode(rows, tokenizer=tokenizer, end=end, bounds=sorted(set(bounds or [])))
+    bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * files))).first()[0] or [])) if shares else []
+    ranged = rows.withColumn("part", _place(F.col("doc_id"), bounds) if bounds else F.lit(0)).repartitionById(files, "part")
+    encoded = encode(ranged.sortWithinPartitions("doc_id"), tokenizer=tokenizer, end=end)
     (
-        encoded.repartitionById(files, "part").sortWithinPartitions("doc_id").select("doc_id", "ids").write.option("orc.bloom.filter.columns", "doc_id")
+        encoded.write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", "10000")

@@ -60,3 +60,16 @@ def test_the_query_on_nulls_repeats_and_a_long_text(spark, tmp_path):
         assert r.start == at
         at += r.n_tokens
     assert [r.doc_id for r in order] == [None, None, 1, 5, 5, 5] and max(r.n_tokens for r in got) == 50_001
+
+
+def test_places_among_bounds(spark):
+    import bisect
+    import random
+
+    rng = random.Random(1)
+    for n in (1, 2, 3, 7, 8, 50):
+        bounds = sorted(rng.sample(range(-200, 200), n))
+        ids = [None, *range(-210, 211, 3)]
+        df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+        got = {r.doc_id: r.p for r in df.select("doc_id", orc_tokens._place(F.col("doc_id"), bounds).alias("p")).collect()}
+        assert got == {i: 0 if i is None else bisect.bisect_left(bounds, i) for i in ids}
