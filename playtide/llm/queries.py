@@ -15,6 +15,7 @@ _QUERIES = {
     "op8_jpeg_media": "jpeg",
     "op9_suffix_tree_lm": "context_lm",
     "op10_warc_merge": "warc",
+    "op11_fim": "fim",
 }
 
 
@@ -23,7 +24,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    from playtide.llm.fim import ORACLE as op11
     from playtide.llm.substrings import ORACLE as op6
     from playtide.llm.warc import ORACLE as op10
 
-    return {"op6_substring_dedup": op6, "op10_warc_merge": op10}
+    return {"op6_substring_dedup": op6, "op10_warc_merge": op10, "op11_fim": op11}
