@@ -16,6 +16,7 @@ _QUERIES = {
     "op9_suffix_tree_lm": "context_lm",
     "op10_warc_merge": "warc",
     "op11_fim": "fim",
+    "op12_mixing": "mixing",
 }
 
 
