@@ -17,6 +17,7 @@ _QUERIES = {
     "op10_warc_merge": "warc",
     "op11_fim": "fim",
     "op12_mixing": "mixing",
+    "op13_collocations": "collocations",
 }
 
 
@@ -25,8 +26,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    from playtide.llm.collocations import ORACLE as op13
     from playtide.llm.fim import ORACLE as op11
     from playtide.llm.substrings import ORACLE as op6
     from playtide.llm.warc import ORACLE as op10
 
-    return {"op6_substring_dedup": op6, "op10_warc_merge": op10, "op11_fim": op11}
+    return {"op6_substring_dedup": op6, "op10_warc_merge": op10, "op11_fim": op11, "op13_collocations": op13}
