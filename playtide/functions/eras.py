@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -20,7 +21,8 @@ QUALIFIERS = frozenset({"era", "session", "sessions", "sesh"})
 _STRONG = regex.compile(STRONG, regex.IGNORECASE)
 _WEAK = regex.compile(WEAK, regex.IGNORECASE)
 _MARK = regex.compile(f"{STRONG}|{WEAK}", regex.IGNORECASE)
-_BRACKET = regex.compile(r"[(\[]([^)\]]*)[)\]]")
+_OPENER = regex.compile(r"[(\[]")
+_CLOSER = regex.compile(r"[)\]]")
 
 
 @dataclass(frozen=True)
@@ -39,15 +41,23 @@ class Era:
         return (self.explicit or self.weak) and not self.name
 
 
+def _brackets(album: str) -> Iterator[tuple[int, int]]:
+    """(begin, end) of each bracket, from an opener to the next closer."""
+    end = 0
+    while (opened := _OPENER.search(album, end)) and (closed := _CLOSER.search(album, opened.end())):
+        end = closed.end()
+        yield opened.start(), end
+
+
 def _in_brackets(album: str) -> str | None:
     """Name before the qualifier in the first bracket that ends in one; "" if none is to be had."""
-    for m in _BRACKET.finditer(album):
-        before, last = last_word(m[1])
+    for begin, end in _brackets(album):
+        before, last = last_word(album[begin + 1 : end - 1])
         if last.lower() not in QUALIFIERS:
             continue
-        if before or trim(album[m.end() :]):
+        if before or trim(album[end:]):
             return before
-        return squeeze(_MARK.sub(" ", album[: m.start()], count=1))
+        return squeeze(_MARK.sub(" ", album[:begin], count=1))
     return None
 
 
@@ -67,5 +77,5 @@ def parse(album: str | None) -> Era:
     ambiguous = not explicit and _bare(album) is not None
     name = bracketed or _bare(_MARK.sub(" ", album, count=1))
     if not name and bracketed is None and _MARK.search(album):
-        name = next((t for m in _BRACKET.finditer(album) if (t := squeeze(m[1]))), None)
+        name = next((t for begin, end in _brackets(album) if (t := squeeze(album[begin + 1 : end - 1]))), None)
     return Era(explicit, weak, ambiguous, name or None)

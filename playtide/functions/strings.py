@@ -20,7 +20,7 @@ NO_ALBUM = "(no album)"
 SEPARATOR = "␟"
 
 _SPACES = regex.compile(f"[{SPACE}]+")
-_EDGE = SPACE.replace(" - ", "".join(map(chr, range(0x2000, 0x200B))))
+EDGE = SPACE.replace(" - ", "".join(map(chr, range(0x2000, 0x200B))))
 _APOSTROPHES = str.maketrans(dict.fromkeys(APOSTROPHES, "'"))
 _MARKS = regex.compile(r"\p{M}+")
 _OTHER = regex.compile(rf"[^\p{{L}}\p{{N}}{SPACE}']")
@@ -36,7 +36,7 @@ def squeeze(text: str) -> str:
 
 
 def trim(text: str) -> str:
-    return text.strip(_EDGE)
+    return text.strip(EDGE)
 
 
 @lru_cache(maxsize=65536)
