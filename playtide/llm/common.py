@@ -67,7 +67,7 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def bucket_of_id(id_col: Column, modulus: int = 5) -> Column:
-    """crc32 of the decimal id, modulo modulus."""
+    """crc32 of the decimal id, modulo modulus; null for a null id, which is in no bucket."""
     return F.crc32(id_col.cast("string").cast("binary")) % modulus
 
 

@@ -222,9 +222,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    model = learn(docs.filter(bucket_of_id(F.col("doc_id")) != 0))
+    model = learn(docs.filter(~bucket_of_id(F.col("doc_id")).eqNullSafe(0)))
     out = predict(docs, model)
-    return out.select("doc_id", (bucket_of_id(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", bucket_of_id(F.col("doc_id")).eqNullSafe(0).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
