@@ -220,26 +220,57 @@ def ingested_plays(spark, d):
     return ingest.latest_plays(spark, store).select("user", "uts", "artist", "album", "track")
 
 
-def _streamed(spark, d, rows: DataFrame, query, mode: str) -> DataFrame:
+def _arrivals(rows: DataFrame, parts: int = 4) -> tuple[list[DataFrame], int]:
+    """Plays in the order they might arrive, a third of each stretch of time one stretch late, then one play of years after; and two stretches in seconds."""
+    first, last = rows.agg(F.min("uts"), F.max("uts")).first()
+    if first is None:
+        return [rows], 1
+    stretch = (last - first) // parts + 1
+    turn = F.floor((F.col("uts") - first) / stretch) + (F.col("seq") % 3 == 0).cast("int")
+    closing = rows.limit(1).withColumns({"user": F.lit(""), "uts": F.lit(last + 10 * 365 * 86_400).cast("long")}).select(*rows.columns)
+    return [*[rows.filter(turn == k) for k in range(parts + 1)], closing], 2 * stretch
+
+
+def _streamed(spark, arrivals: list[DataFrame], query, start) -> str:
+    """Runs the query once for each arrival, from the checkpoint of the run before.  Returns where start(found, out) has written."""
     path, out = scratch(spark, "arrivals"), scratch(spark, "found")
-    rows.write.parquet(path)
-    found = query(spark.readStream.schema(rows.schema).parquet(path))
+    for rows in arrivals:
+        rows.write.mode("append").parquet(path)
+        with ingest.rocks(spark):
+            running = start(query(spark.readStream.schema(rows.schema).parquet(path)), out)
+        running.awaitTermination()
+    return out
+
+
+def _append(found: DataFrame, out: str):
     write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
-    found.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(found.schema).parquet(out).select(*found.columns)
+    return found.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
 
 
 def streamed_hours(spark, d):
-    return _streamed(spark, d, source.event_plays(spark, d), lambda s: ingest.hourly_bursts(s, 3), "complete").select("user", F.date_format("hour", "yyyy-MM-dd HH:00").alias("hour"), "plays")
+    """Bursts as the watermark closes their hours."""
+    arrivals, late = _arrivals(source.event_plays(spark, d))
+    out = _streamed(spark, arrivals, lambda s: ingest.hourly_bursts(s, 3, f"{late} seconds"), _append)
+    return spark.read.schema("user string, hour timestamp, plays long").parquet(out).select("user", F.date_format("hour", "yyyy-MM-dd HH:00").alias("hour"), "plays")
 
 
 def streamed_repeats(spark, d):
-    return _streamed(spark, d, source.event_plays(spark, d), ingest.adjacent_repeats, "append")
+    """Repeats by event time, plays late and the query restarted between arrivals."""
+    arrivals, late = _arrivals(source.event_plays(spark, d))
+    out = _streamed(spark, arrivals, lambda s: ingest.adjacent_repeats(s, late=f"{late} seconds"), _append)
+    return spark.read.schema("user string, uts long, artist string, track string, previous_uts long").parquet(out).drop("batch")
+
+
+def counted_hours(spark, d):
+    """Bursts from a store of counts, in which late plays count."""
+    arrivals, _ = _arrivals(source.event_plays(spark, d))
+    out = _streamed(spark, arrivals[:-1], lambda s: s, lambda s, out: ingest.count_hours(s, out, f"{out}-state"))
+    return ingest.counted_bursts(spark, out, 3)
 
 
 QUERIES = {f.__name__: f for f in (
     similarity_ratio, d1_fuzzy, d4_decided, d14a_typos, official_partition, plays_until, album_exists, artist_ids, catalogue_pages, next_offsets, track_releases, track_answers, tracklists, shared_cache, cache_usage,
-    same_recordings, recording_verdicts, d5_targets, d0_aimed, d14e_since, ranked_issues, issue_summary, hygiene, ingested_plays, streamed_hours, streamed_repeats,
+    same_recordings, recording_verdicts, d5_targets, d0_aimed, d14e_since, ranked_issues, issue_summary, hygiene, ingested_plays, streamed_hours, streamed_repeats, counted_hours,
 )}
 
 
@@ -372,6 +403,7 @@ w AS (SELECT "user", artist, track, any_value(total) AS total, arg_min(g, (NOT g
 SELECT "user", artist, track, total AS plays_affected, CAST(CASE WHEN g.stream THEN 0.6 ELSE 0.35 END AS DOUBLE) AS confidence, g.title AS release FROM w""",
     "ingested_plays": sql.EVENTS + 'SELECT "user", uts, artist, album, track FROM plays',
     "streamed_hours": sql.EVENTS + """SELECT "user", strftime(make_timestamp(uts // 3600 * 3600000000), '%Y-%m-%d %H:00') AS hour, count(*) AS plays FROM plays GROUP BY ALL HAVING count(*) > 3""",
+    "counted_hours": sql.EVENTS + 'SELECT "user", uts // 3600 AS hour, CAST(count(*) AS BIGINT) AS plays FROM plays GROUP BY ALL HAVING count(*) > 3',
     "streamed_repeats": sql.DUPES + 'SELECT "user", uts, artist, track, previous_uts FROM dupes',
 }
 _ALL = f"WITH found AS ({_detected()})\n"

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from playtide.functions import keys
 from playtide.functions.strings import norm, norm_title
@@ -44,34 +47,90 @@ def latest_plays(spark: SparkSession, store: str) -> DataFrame:
 
 
 def hourly_bursts(plays: DataFrame, most: int = 60, late: str = "2 hours") -> DataFrame:
-    """Hours with impossible counts, by tumbling window; plays later than the watermark are left out."""
+    """Hours with impossible counts, by tumbling window, each when it is over; plays later than `late` are left out.
+
+    Where plays can be later than any watermark, count_hours() counts them all.
+    """
     timed = plays.withColumn("time", keys.utc(F.col("uts")).cast("timestamp")).withWatermark("time", late)
     return timed.groupBy("user", F.window("time", "1 hour")).agg(F.count("*").alias("plays")).filter(F.col("plays") > most).select("user", F.col("window.start").alias("hour"), "plays")
 
 
-_STATE = "uts long, artist string, track string"
+def count_hours(plays: DataFrame, store: str, checkpoint: str):
+    """Add what has arrived to a store of plays per user and hour, then stop.
+
+    Every batch leaves its own counts, so that a batch that is run again overwrites them, no state is
+    held, and a play counts in its hour however late it comes.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        counts = batch.groupBy("user", F.floor(F.col("uts") / 3600).alias("hour")).agg(F.count("*").alias("plays"))
+        counts.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+
+    return plays.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def counted_bursts(spark: SparkSession, store: str, most: int = 60) -> DataFrame:
+    """(user, hour, plays): the hours of the store with more than `most` plays; `hour` is a number of hours since 1970."""
+    return spark.read.parquet(store).groupBy("user", "hour").agg(F.sum("plays").alias("plays")).filter(F.col("plays") > most)
+
+
+_PLAY = "uts long, seq long, artist string, track string, shown boolean"
 _FOUND = "user string, uts long, artist string, track string, previous_uts long"
 
 
-def adjacent_repeats(plays: DataFrame, window_seconds: int = 30) -> DataFrame:
-    """Repeats of a user's last play within the window, each arrival against the last one kept.
+class RepeatsOfAStretch(StatefulProcessor):
+    """Holds the plays of one user and stretch of time until the watermark has passed it, then compares neighbours."""
 
-    Only adjacent plays count, which deduplication by key within a watermark cannot tell.  The
-    state of a user is one play.  Plays must arrive in order; those before the last are passed over.
-    """
+    def __init__(self, window_seconds: int, stretch: int) -> None:
+        self.window_seconds, self.stretch = window_seconds, stretch
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.plays = handle.getListState("plays", _PLAY)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        if not self.plays.exists():
+            self.handle.registerTimer((int(key[1]) + 1) * self.stretch * 1000)
+        for part in rows:
+            self.plays.appendList([(int(r.uts), int(r.seq), r.artist, r.track, bool(r.shown)) for r in part.itertuples()])
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        order = sorted(self.plays.get(), key=lambda r: (r[0], r[1]))
+        self.plays.clear()
+        found = [(key[0], b[0], b[2], b[3], a[0]) for a, b in pairwise(order) if not b[4] and b[0] - a[0] <= self.window_seconds and norm_title(b[3]) == norm_title(a[3]) and norm(b[2]) == norm(a[2])]
+        if found:
+            yield pd.DataFrame(found, columns=[c.split()[0] for c in _FOUND.split(", ")])
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        found = []
-        rows = pd.concat(list(batches)).sort_values(["uts", "seq"], kind="stable")
-        for r in rows.itertuples():
-            if last is not None and r.uts < last[0]:
-                continue
-            if last is not None and r.uts - last[0] <= window_seconds and norm_title(r.track) == norm_title(last[2]) and norm(r.artist) == norm(last[1]):
-                found.append((key[0], r.uts, r.artist, r.track, last[0]))
-            last = (r.uts, r.artist, r.track)
-        if last is not None:
-            state.update(last)
-        yield pd.DataFrame(found, columns=[c.split()[0] for c in _FOUND.split(", ")])
-
-    return plays.select("user", "seq", "uts", "artist", "track").groupBy("user").applyInPandasWithState(step, _FOUND, _STATE, "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def adjacent_repeats(plays: DataFrame, window_seconds: int = 30, late: str = "2 hours", stretch: int = 86_400, arrival: str | None = None) -> DataFrame:
+    """Repeats of the play just before, of any track, within the window; what timing.adjacent_repeats() finds in a whole log.
+
+    Plays may come in any order: a stretch of a user's time is judged once the watermark, `late` behind the
+    newest play, has passed it, and then its state is given up.  Plays in the last seconds of a stretch are also
+    shown to the next, so that a stretch and not the user is what one task holds.  A play that comes later
+    still is dropped here; the log has it, and the batch detector finds its repeats.  With `arrival`, a column of epoch
+    seconds, a play from a clock that runs ahead moves the watermark no further than its arrival.
+    """
+    at = F.col("uts") if arrival is None else F.least("uts", arrival)
+    rows = plays.withColumn("time", F.timestamp_seconds(at)).withWatermark("time", late)
+    number = F.floor(F.col("uts") / stretch)
+    own, next_ = F.struct(number.alias("part"), F.lit(False).alias("shown")), F.struct((number + 1).alias("part"), F.lit(True).alias("shown"))
+    rows = rows.withColumn("p", F.explode(F.when(F.col("uts") % stretch >= stretch - window_seconds, F.array(own, next_)).otherwise(F.array(own))))
+    rows = rows.select("user", "p.part", "time", "uts", "seq", "artist", "track", "p.shown")
+    return rows.groupBy("user", "part").transformWithStateInPandas(RepeatsOfAStretch(window_seconds, stretch), _FOUND, "append", "eventTime")
+
+
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which processors with timers need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
