@@ -3,7 +3,7 @@
 Targets share the words of all sources by weight; none exceeds max_repeats times its source, and what
 that leaves over is shared again.  The mix consists of blocks of the same number of words.  Blocks go to
 sources by the highest quotients target / (2j - 1), and each source's blocks go to its shards (documents dealt by a
-seeded hash, a few million words a shard) in the same way, which gives an integer quota a shard.  A
+seeded hash, a million words a shard) in the same way, which gives an integer quota a shard.  A
 shard then takes its documents, in seeded order, as often as its quota fills it, and the rest as
 blocks spread evenly over that order from a seeded place on.
 
@@ -31,7 +31,7 @@ from playtide.llm.common import materialise, read_table
 
 WEIGHTS = (5, 2, 1)
 BLOCK = 128
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 1 << 20
 #: Thresholds a group tries at once.
 TRIES = 32
 _SPACE = np.zeros(256, dtype=bool)
@@ -51,10 +51,12 @@ def word_counts(column: pa.Array) -> np.ndarray:
     edges = edges - edges[0]
     begins = ~space
     begins[1:] &= space[:-1]
-    firsts = edges[:-1][edges[1:] > edges[:-1]]
+    full = edges[1:] > edges[:-1]
+    firsts = edges[:-1][full]
     begins[firsts] = ~space[firsts]
-    total = np.r_[0, np.cumsum(begins, dtype=np.int64)]
-    return total[edges[1:]] - total[edges[:-1]]
+    counts = np.zeros(len(column), dtype=np.int64)
+    counts[full] = np.add.reduceat(begins, firsts, dtype=np.int64)
+    return counts
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +105,7 @@ def apportion(parties: DataFrame, seats: DataFrame) -> DataFrame:
     counts the seats above TRIES thresholds a group and keeps the two next to what is sought.  Where quotients tie,
     the interval shrinks to nothing, and the places of the tied parties are narrowed in the same way.
     """
-    parties = parties.filter("votes > 0 AND most > 0")
+    parties = materialise(parties.filter("votes > 0 AND most > 0"), "parties")
 
     def above(t: Column) -> Column:
         return F.least(F.col("most"), F.floor((F.col("votes") / t + 1) / 2))
