@@ -3,7 +3,8 @@
 The first pass adds every phrase of one to five words to two sketch rows and merges the rows of all
 tasks.  A sketch can only overestimate, so a phrase that is frequent has a large cell in both rows.  The
 second pass tests phrases level by level (a phrase only if the two phrases one word shorter passed) and
-counts the survivors exactly, by their words and not by hashes; those below the threshold go then.
+counts the survivors exactly, by their words and not by hashes: in blocks of text first, then by parts that
+phrases are dealt to; those below the threshold go then.
 
 The rows are as wide as the corpus asks for (min_bits to max_bits).  They are merged by ranges of
 cells on the executors; only one bit a cell, whether it reached the threshold, folded to
@@ -110,11 +111,14 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         yield Block(words.dictionary, words.indices.to_numpy().astype(np.int64), lang, langs, np.r_[piece[1:] == piece[:-1], False])
 
 
+def _lang_hashes(block: Block) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(x.encode(), seed=1) for x in block.langs), dtype=np.uint64, count=len(block.langs))
+
+
 def _hashes(block: Block) -> np.ndarray:
     """A hash of each word and its language."""
     own = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in block.words.to_pylist()), dtype=np.uint64, count=len(block.words))
-    lang = np.fromiter((xxhash.xxh3_64_intdigest(x.encode(), seed=1) for x in block.langs), dtype=np.uint64, count=len(block.langs))
-    return own[block.index] ^ lang[block.lang]
+    return own[block.index] ^ _lang_hashes(block)[block.lang]
 
 
 def _roll(longer: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -228,7 +232,7 @@ def heavy_cells(rows: DataFrame, least: int, bits: int, part_bits: int = PART_BI
     """Per sketch row one bit a cell, folded to 2**MIN_BITS: whether a cell under it reached `least`."""
     fold = bits - MIN_BITS
     sketched = rows.mapInArrow(_sketch(bits, part_bits), "row int, part long, unit int, cells binary")
-    tasks = len(_ROWS) << (MIN_BITS - part_bits)
+    tasks = len(_ROWS) << min(bits - part_bits, 12)
     merged = sketched.repartition(tasks, "row", "part").sortWithinPartitions("row", "part").mapInArrow(_merge(least, part_bits, fold), "row int, part long, heavy binary")
     out = [np.zeros(1 << (MIN_BITS - 3), dtype=np.uint8) for _ in _ROWS]
     step = 1 << (part_bits - fold - 3)
@@ -255,18 +259,29 @@ def _phrases(block: Block, first: np.ndarray, n: int) -> pa.Array:
     return columns[0] if n == 1 else pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.binary()))
 
 
-def _count(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = sent.value
+_COUNTED = "part int, lang array<string>, words array<int>, phrase array<string>, n array<bigint>"
+
 
-        def batch(block: Block, n: int, first: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-            langs = pa.array(block.langs, pa.string()).take(pa.array(block.lang[first]))
-            phrases = _phrases(block, first, n).cast(pa.string()) if n else pa.array([""] * len(first), pa.string())
-            return pa.RecordBatch.from_arrays([langs, pa.array(np.full(len(first), n, dtype=np.int32)), phrases, pa.array(counts.astype(np.int64))], names=["lang", "words", "phrase", "n"])
+def _count(sent, parts: int):
+    """Exact counts of a block's survivors, its phrases dealt to parts by their hash: a row a part."""
 
+    def dealt(block: Block, found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        first, n, many, hashes = (np.concatenate([f[i] for f in found]) for i in (1, 0, 2, 3))
+        part = (hashes * _ROWS[0] >> _SHIFT).astype(np.int64) % parts
+        order = np.argsort(part, kind="stable")
+        phrases = pa.concat_arrays([_phrases(block, at, k[0]) if k[0] else pa.array([b""] * len(at), pa.binary()) for k, at, _, _ in found])
+        langs = pa.array(block.langs, pa.string()).take(pa.array(block.lang[first[order]]))
+        named, begins = np.unique(part[order], return_index=True)
+        edges = pa.array(np.r_[begins, len(order)].astype(np.int32))
+        columns = (langs, pa.array(n[order].astype(np.int32)), phrases.take(pa.array(order)).cast(pa.string()), pa.array(many[order].astype(np.int64)))
+        listed = [pa.ListArray.from_arrays(edges, c) for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(named.astype(np.int32)), *listed], names=["part", "lang", "words", "phrase", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy = sent.value
         for block in blocks(batches):
             _, first, many = np.unique(block.lang, return_index=True, return_counts=True)
-            yield batch(block, 0, first, many)
+            found = [(np.zeros(len(first), dtype=np.int64), first, many, _lang_hashes(block)[block.lang[first]])]
             word = _hashes(block)
             at = _survives(word, heavy)
             keys = block.index[at] * len(block.langs) + block.lang[at]
@@ -276,7 +291,7 @@ def _count(sent):
                     break
                 # Exact numbers of the phrases: by the number of the first n - 1 words and the last word.
                 _, first, inverse, many = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-                yield batch(block, n, at[first], many)
+                found.append((np.full(len(first), n), at[first], many, hashes[first]))
                 if n == MAX_WORDS:
                     break
                 alive = np.zeros(len(word) + 1, dtype=bool)
@@ -286,6 +301,38 @@ def _count(sent):
                 go, hashes = go[left := _survives(rolled, heavy)], rolled[left]
                 at = at[go]
                 keys = inverse[go] * len(block.words) + block.index[at + n]
+            yield dealt(block, found)
+
+    return run
+
+
+def _add_up(least: int, most_held: int = 1 << 20):
+    """Sums the counts of each part, which come sorted by part, and keeps those that reach `least`."""
+
+    def summed(held: list[pa.Table]) -> pa.Table:
+        out = pa.concat_tables(held).group_by(["lang", "words", "phrase"]).aggregate([("n", "sum")])
+        return out.select(["lang", "words", "phrase", "n_sum"]).rename_columns(["lang", "words", "phrase", "n"])
+
+    def frequent(held: list[pa.Table]) -> list[pa.RecordBatch]:
+        out = summed(held)
+        return out.filter(pc.or_(pc.greater_equal(out["n"], least), pc.equal(out["words"], 0))).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, rows, limit = None, [], 0, most_held
+        for batch in batches:
+            for i, p in enumerate(batch.column("part").to_pylist()):
+                if p != part and held:
+                    yield from frequent(held)
+                    held, rows, limit = [], 0, most_held
+                part = p
+                held.append(pa.table({c: batch.column(c).slice(i, 1).flatten() for c in ("lang", "words", "phrase", "n")}))
+                rows += held[-1].num_rows
+                if rows > limit:
+                    held = [summed(held)]
+                    rows = held[0].num_rows
+                    limit = max(most_held, 2 * rows)
+        if held:
+            yield from frequent(held)
 
     return run
 
@@ -296,8 +343,9 @@ def counts(docs: DataFrame, least: int, lang_col: str, text_col: str) -> DataFra
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     heavy = heavy_cells(rows, least, sketch_bits(size))
     sent = rows.sparkSession.sparkContext.broadcast(heavy)
-    found = rows.mapInArrow(_count(sent), "lang string, words int, phrase string, n long")
-    return found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("words") == 0))
+    parts = min(4096, max(16, size >> 25))
+    found = rows.mapInArrow(_count(sent, parts), _COUNTED).repartition(parts, "part").sortWithinPartitions("part")
+    return found.mapInArrow(_add_up(least), "lang string, words int, phrase string, n long")
 
 
 # -- scores
