@@ -15,8 +15,9 @@ from playtide.operators.cells import cells_of, partition_eras
 from playtide.plans import oracles as sql
 from playtide.plans import queries as q
 from playtide.plans import report
-from playtide.sources import cache, releases, state
+from playtide.sources import cache, paged, releases, state
 from playtide.sources import plays as source
+from playtide.sources.answers import AnswerCache
 from playtide.streaming import ingest
 
 UNTIL = 1_704_240_000
@@ -206,6 +207,56 @@ def hygiene(spark, d):
     return h.select("user", "score", "actionable", *flat)
 
 
+# Stores: pages walked through the data source, a cache over rounds, a report whose parts appear together.
+
+
+def walked_pages(spark, d):
+    """Plays of a walk that broke off after two pages a user and went on from its checkpoint."""
+    landing, store = scratch(spark, "pages"), scratch(spark, "walk")
+    pages = q._pages(spark, d)
+    for part in (pages.filter("page <= 2"), pages.filter("page > 2")):
+        part.write.partitionBy("user", "page").mode("append").json(landing)
+        paged.walk(spark, store, f"{store}-state", path=landing).awaitTermination()
+    return source.flatten_pages(paged.walked(spark, store)).select("user", "uts", "artist", "album", "track")
+
+
+def read_pages(spark, d):
+    """The same pages in one batch, ten pages a task."""
+    landing = scratch(spark, "pages")
+    q._pages(spark, d).write.partitionBy("user", "page").json(landing)
+    paged.register(spark)
+    pages = spark.read.format("play_pages").options(path=landing, pages_per_partition=10).load()
+    return source.flatten_pages(paged.unbroken(pages)).select("user", "uts", "artist", "album", "track")
+
+
+def cache_rounds(spark, d):
+    """Three rounds of answers, with a compaction after the second: what each key has then, and what is served of it."""
+    cached = AnswerCache(spark, scratch(spark, "answers"), buckets=8)
+    key = F.concat(F.lit("mb:"), F.col("o_custkey") % 700)
+    body = F.when(F.col("o_orderkey") % 4 == 0, '{"found": false}').when(F.col("o_orderkey") % 5 > 0, F.concat(F.lit('{"groups": ['), F.col("o_orderkey"), F.lit("]}")))
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(key.alias("k"), body.alias("v"), F.expr(source._epoch("o_orderdate")).alias("created"), (F.col("o_orderkey") % 3).alias("round"))
+    for n in range(3):
+        cached.add(orders.filter(F.col("round") == n))
+        if n == 1:
+            cached.compact()
+    wanted = spark.range(800).select(F.concat(F.lit("mb:"), F.col("id")).alias("k"))
+    served = cached.lookup(wanted, 900_000_000).select("k", F.col("v").isNotNull().alias("served"))
+    return cached.rows().join(served, "k", "full_outer")
+
+
+def published_profile(spark, d):
+    """A report's profile and overview, read back after a later one has failed to be written."""
+    path = scratch(spark, "report")
+    cells = q._cells(spark, d)
+    report.publish({"profile": report.profile(source.lineitem_plays(spark, d)), "era": unreleased.overview(cells)}, path)
+    try:
+        report.publish({"profile": spark.range(1), "era": spark.range(1).select(F.raise_error(F.lit("no room")).alias("x"))}, path)
+    except Exception as e:
+        if "no room" not in str(e):
+            raise
+    return report.published(spark, path, "profile").join(report.published(spark, path, "era").select("user", F.col("distinct_eras").alias("eras")), "user")
+
+
 # Streams, each run to the end of what has landed.
 
 
@@ -270,7 +321,7 @@ def counted_hours(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     similarity_ratio, d1_fuzzy, d4_decided, d14a_typos, official_partition, plays_until, album_exists, artist_ids, catalogue_pages, next_offsets, track_releases, track_answers, tracklists, shared_cache, cache_usage,
-    same_recordings, recording_verdicts, d5_targets, d0_aimed, d14e_since, ranked_issues, issue_summary, hygiene, ingested_plays, streamed_hours, streamed_repeats, counted_hours,
+    same_recordings, recording_verdicts, d5_targets, d0_aimed, d14e_since, ranked_issues, issue_summary, hygiene, ingested_plays, streamed_hours, streamed_repeats, counted_hours, walked_pages, read_pages, cache_rounds, published_profile,
 )}
 
 
@@ -403,9 +454,15 @@ w AS (SELECT "user", artist, track, any_value(total) AS total, arg_min(g, (NOT g
 SELECT "user", artist, track, total AS plays_affected, CAST(CASE WHEN g.stream THEN 0.6 ELSE 0.35 END AS DOUBLE) AS confidence, g.title AS release FROM w""",
     "ingested_plays": sql.EVENTS + 'SELECT "user", uts, artist, album, track FROM plays',
     "streamed_hours": sql.EVENTS + """SELECT "user", strftime(make_timestamp(uts // 3600 * 3600000000), '%Y-%m-%d %H:00') AS hour, count(*) AS plays FROM plays GROUP BY ALL HAVING count(*) > 3""",
+    "walked_pages": sql.EVENTS + 'SELECT "user", uts, artist, album, track FROM plays',
+    "read_pages": sql.EVENTS + 'SELECT "user", uts, artist, album, track FROM plays',
+    "cache_rounds": """WITH o AS (SELECT 'mb:' || (o_custkey % 700) AS k, CASE WHEN o_orderkey % 4 = 0 THEN '{"found": false}' WHEN o_orderkey % 5 > 0 THEN '{"groups": [' || o_orderkey || ']}' END AS v, CAST(epoch(o_orderdate) AS BIGINT) AS created FROM orders),
+n AS (SELECT k, v, created FROM o WHERE v IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY created DESC, v DESC) = 1)
+SELECT coalesce(n.k, w.k) AS k, v, created, CASE WHEN w.k IS NOT NULL THEN coalesce(v NOT LIKE '%false%' OR created >= 900000000 - 30 * 86400, false) END AS served FROM n FULL JOIN (SELECT 'mb:' || i AS k FROM range(800) r(i)) w ON w.k = n.k""",
     "counted_hours": sql.EVENTS + 'SELECT "user", uts // 3600 AS hour, CAST(count(*) AS BIGINT) AS plays FROM plays GROUP BY ALL HAVING count(*) > 3',
     "streamed_repeats": sql.DUPES + 'SELECT "user", uts, artist, track, previous_uts FROM dupes',
 }
+SQL["published_profile"] = f"""SELECT p.*, o.distinct_eras AS eras FROM ({sql.SQL['profile']}) p JOIN ({sql.SQL['era_overview']}) o ON o."user" = p."user\""""
 _ALL = f"WITH found AS ({_detected()})\n"
 SQL["issue_summary"] = _ALL + 'SELECT "user", detector, count(*) AS issues, CAST(sum(plays_affected) AS BIGINT) AS plays_affected FROM found GROUP BY "user", detector'
 SQL["ranked_issues"] = _ALL + """, k AS (SELECT *, CAST(style OR class NOT IN ('error', 'split') AS INT) AS idle, CASE WHEN detector = 'D5' THEN 0 WHEN detector IN ('D0', 'D4', 'D15') THEN 1 WHEN detector = 'D8' THEN 2 WHEN detector = 'D1' THEN 3 WHEN detector = 'D11' THEN 4 WHEN detector IN ('D6', 'D12') THEN 5 ELSE 6 END AS tier FROM found),

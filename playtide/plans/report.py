@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from playtide.operators import albums, artists, chart, timing, unreleased
 from playtide.operators.cells import cells_of, partition_eras
+from playtide.sources.versions import Versions
 
 #: Tiers of detectors, the most worth fixing first.
 TIERS = (("D5",), ("D0", "D4", "D15"), ("D8",), ("D1",), ("D11",), ("D6", "D12"), ("D14a", "D14c", "D14e", "D14f"), ("D16",))
@@ -50,6 +51,32 @@ def score_totals(cells: DataFrame) -> DataFrame:
     )
 
 
+PARTS = ("issues", "profile", "hygiene", "era", "impact", "summary_by_detector")
+
+
+def publish(parts: dict[str, DataFrame], path: str) -> str:
+    """Write all parts as one version of the report at path: they appear together, or, if one fails, none does."""
+    versions = Versions(next(iter(parts.values())).sparkSession, path)
+    name = versions.begin()
+    try:
+        for part, rows in parts.items():
+            rows.write.parquet(f"{versions.folder(name)}/{part}")
+    except BaseException:
+        versions.abort(name)
+        raise
+    versions.commit(name)
+    return name
+
+
+def published(spark: SparkSession, path: str, part: str, version: str | None = None) -> DataFrame:
+    """A part of the report at path, of its current version or the one named."""
+    versions = Versions(spark, path)
+    name = version or versions.current()
+    if name is None:
+        raise FileNotFoundError(f"no report has been published at {path}")
+    return spark.read.parquet(f"{versions.folder(name)}/{part}")
+
+
 @dataclass
 class Report:
     cells: DataFrame
@@ -69,9 +96,8 @@ class Report:
             self.found.unpersist()
 
     def write(self, path: str) -> None:
-        """Each part as Parquet under path."""
-        for name in ("issues", "profile", "hygiene", "era", "impact", "summary_by_detector"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        """All parts under path, as its new version."""
+        publish({name: getattr(self, name) for name in PARTS}, path)
 
 
 def analyse(plays: DataFrame, now: int, official: DataFrame | None = None, top_albums: DataFrame | None = None, persist: bool = True) -> Report:
