@@ -5,6 +5,8 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,23 +28,47 @@ def fields(spec: str) -> T.StructType:
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split(" ") for c in spec.split(", "))])
 
 
-@F.pandas_udf(fields(KEYS))
-def _keys(artist: pd.Series, album: pd.Series, track: pd.Series) -> pd.DataFrame:
-    def of(a: str, b: str, t: str) -> tuple:
-        e = eras.parse(b)
-        base = titles.base_title(t)
-        return (
-            strings.norm(a), strings.norm_artist(a), unicodedata.normalize("NFC", a or "").lower(), strings.norm(b), strings.norm_title(b), strings.norm(t), strings.norm_title(t), strings.track_identity(t),
-            base, strings.track_identity(base), titles.credits(t), e.explicit, e.weak, e.ambiguous,
-            e.name, strings.norm(e.name), e.undifferentiated, titles.album_kind(b or strings.NO_ALBUM, t or ""), titles.is_structural(t), titles.single_shaped(b, t),
-        )
+def _artist_keys(a: str) -> tuple:
+    return strings.norm(a), strings.norm_artist(a), unicodedata.normalize("NFC", a).lower()
 
+
+def _album_keys(b: str) -> tuple:
+    e = eras.parse(b)
+    return strings.norm(b), strings.norm_title(b), e.explicit, e.weak, e.ambiguous, e.name, strings.norm(e.name), e.undifferentiated, titles.kind_by_name(b), titles.has_single_suffix(b)
+
+
+def _track_keys(t: str) -> tuple:
+    base = titles.base_title(t)
+    return strings.norm(t), strings.norm_title(t), strings.track_identity(t), base, strings.track_identity(base), titles.credits(t), titles.is_structural(t), strings.norm(base)
+
+
+_OF_ARTIST = ("artist_key", "artist_fold", "artist_lower")
+_OF_ALBUM = ("album_key", "album_title", "era_explicit", "era_weak", "era_ambiguous", "era_name", "era_key", "undifferentiated", "by_name", "suffix")
+_OF_TRACK = ("track_key", "track_title", "track_id", "track_base", "base_id", "credits", "structural", "base_key")
+
+
+def _by_dictionary(values: pa.Array, fn, names: tuple[str, ...]) -> dict[str, pa.Array]:
+    """The keys of all values, each distinct one computed once."""
+    coded = pc.fill_null(values, "").dictionary_encode()
+    columns = zip(*map(fn, coded.dictionary.to_pylist()), strict=True) if len(coded.dictionary) else ((),) * len(names)
+    kind = lambda n: pa.list_(pa.string()) if n == "credits" else pa.bool_() if n.startswith("era_") and n not in ("era_name", "era_key") or n in ("undifferentiated", "suffix", "structural") else pa.string()
+    return {n: pa.array(list(c), kind(n)).take(coded.indices) for n, c in zip(names, columns, strict=True)}
+
+
+@F.arrow_udf(fields(KEYS))
+def _keys(artist: pa.Array, album: pa.Array, track: pa.Array) -> pa.Array:
+    found = _by_dictionary(artist, _artist_keys, _OF_ARTIST) | _by_dictionary(album, _album_keys, _OF_ALBUM) | _by_dictionary(track, _track_keys, _OF_TRACK)
+    full = lambda c: pc.not_equal(pc.fill_null(c, ""), "")
+    same = pc.or_(pc.equal(found["album_key"], found["track_key"]), pc.equal(found["album_key"], found["base_key"]))
+    after = pc.and_(pc.equal(found["album_title"], found["track_title"]), pc.not_equal(found["by_name"], titles.MISSING))
+    found["kind"] = pc.if_else(after, pa.scalar(titles.AFTER_TRACK), found["by_name"])
+    found["single_shaped"] = pc.and_(pc.and_(full(album), full(track)), pc.or_(found["suffix"], pc.and_(full(found["album_key"]), same)))
     names = [c.split()[0] for c in KEYS.split(", ")]
-    return pd.DataFrame([of(*r) for r in zip(artist, album, track, strict=True)], columns=names)
+    return pa.StructArray.from_arrays([found[n] for n in names], names)
 
 
 def with_keys(cells: DataFrame) -> DataFrame:
-    """cells(artist, album, track, ...) with all comparison keys, in one Arrow pass."""
+    """cells(artist, album, track, ...) with all comparison keys, in one Arrow pass over the distinct names of each batch."""
     return cells.withColumn("__k", _keys("artist", "album", "track")).select(*cells.columns, "__k.*")
 
 

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,21 +14,12 @@ from playtide.plans import report
 from playtide.sources import cache, paged, releases, state
 from playtide.sources import plays as source
 from playtide.sources.answers import AnswerCache
+from playtide.sources.scratch import scratch
 from playtide.streaming import ingest
 
 UNTIL = 1_704_240_000
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder that driver and executors share: below spark.checkpoint.dir, or of this machine under a local master."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="playtide-")
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-
-
 # Similarity: names that share their first word, artists that share a title, eras of one artist.
 
 

@@ -11,12 +11,13 @@ from playtide.operators.cells import cells_of, partition_eras, weak_era_candidat
 from playtide.plans import report
 from playtide.sources import cache, releases
 from playtide.sources import plays as source
+from playtide.sources.scratch import kept
 
 NOW = 915_148_800
 
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
-    return partition_eras(cells_of(source.lineitem_plays(spark, d)))
+    return kept(partition_eras(cells_of(source.lineitem_plays(spark, d))), "cells")
 
 
 def _rest(spark: SparkSession, d: str) -> DataFrame:
@@ -263,7 +264,7 @@ def profile(spark, d):
 def _sql_issues(spark, d):
     """Findings of the detectors that SQL can express whole, in the columns the score needs."""
     plays = source.lineitem_plays(spark, d)
-    cells = partition_eras(cells_of(plays))
+    cells = _cells(spark, d)
     rest = cells.filter("NOT is_era")
     cols = ["user", "detector", "class", "plays_affected", "style_choice"]
     d4 = albums.decide_splits(rest, ratio=False).select("user", F.lit("D4").alias("detector"), "class", F.col("total").alias("plays_affected"), F.lit(None).cast("boolean").alias("style_choice"))
@@ -387,7 +388,7 @@ def resolved_issues(spark, d):
     rest = _rest(spark, d)
     found = albums.album_splits(rest).unionByName(artists.feature_credits(rest)).unionByName(albums.missing_albums(rest, source.lineitem_plays(spark, d).filter("album = ''")))
     exists = _part(spark, d).select(F.concat("p_brand", F.lit(" & Brand#1")).alias("artist"), (F.substring("p_brand", 7, 1) == "2").alias("exists")).distinct()
-    return resolve.resolve(found.persist(), _lookup(spark, d), exists)
+    return resolve.resolve(kept(found, "findings"), _lookup(spark, d), exists)
 
 
 QUERIES = {

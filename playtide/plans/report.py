@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from playtide.operators import albums, artists, chart, timing, unreleased
 from playtide.operators.cells import cells_of, partition_eras
+from playtide.sources.scratch import discard, kept
 from playtide.sources.versions import Versions
 
 #: Tiers of detectors, the most worth fixing first.
@@ -54,13 +56,18 @@ def score_totals(cells: DataFrame) -> DataFrame:
 PARTS = ("issues", "profile", "hygiene", "era", "impact", "summary_by_detector")
 
 
-def publish(parts: dict[str, DataFrame], path: str) -> str:
-    """Write all parts as one version of the report at path: they appear together, or, if one fails, none does."""
-    versions = Versions(next(iter(parts.values())).sparkSession, path)
+def publish(parts: dict[str, DataFrame | Callable], path: str) -> str:
+    """Write all parts as one version of the report at path: they appear together, or, if one fails, none does.
+
+    A part may be a function of those before it: it is given one that reads them by name.
+    """
+    spark = next(p for p in parts.values() if isinstance(p, DataFrame)).sparkSession
+    versions = Versions(spark, path)
     name = versions.begin()
+    done = lambda part: spark.read.parquet(f"{versions.folder(name)}/{part}")
     try:
         for part, rows in parts.items():
-            rows.write.parquet(f"{versions.folder(name)}/{part}")
+            (rows if isinstance(rows, DataFrame) else rows(done)).write.parquet(f"{versions.folder(name)}/{part}")
     except BaseException:
         versions.abort(name)
         raise
@@ -87,30 +94,29 @@ class Report:
     era: DataFrame
     impact: DataFrame
     summary_by_detector: DataFrame
-    found: DataFrame | None = None
+    totals: DataFrame
+    kept: bool = False
 
     def release(self) -> None:
-        """Give back what the run has kept; the report can still be read, from the plays."""
-        self.cells.unpersist()
-        if self.found is not None:
-            self.found.unpersist()
+        """Delete the run's own table; the report can no longer be read, but for what has been written."""
+        if self.kept:
+            discard(self.cells.sparkSession, self.cells)
 
     def write(self, path: str) -> None:
-        """All parts under path, as its new version."""
-        publish({name: getattr(self, name) for name in PARTS}, path)
+        """All parts under path, as its new version.  What sums up the findings reads them back, so they are found once."""
+        summed = {"hygiene": lambda done: chart.hygiene_score(done("issues"), self.totals), "summary_by_detector": lambda done: summary_by_detector(done("issues"))}
+        publish({name: summed.get(name, getattr(self, name)) for name in PARTS}, path)
 
 
-def analyse(plays: DataFrame, now: int, official: DataFrame | None = None, top_albums: DataFrame | None = None, persist: bool = True) -> Report:
+def analyse(plays: DataFrame, now: int, official: DataFrame | None = None, top_albums: DataFrame | None = None, keep: bool = True) -> Report:
     """The report of every user in a play log.  `now` is given, so that a run can be repeated.
 
-    The roll-up is kept in memory and on disk for the run (a lost part is computed again from
-    its lineage); every detector then reads cells, and only those of time read plays again.
+    The roll-up is written once, as a table of the run (see sources/scratch.py); every detector then
+    reads the columns of it that it needs, and only those of time read plays again.
     """
-    from pyspark import StorageLevel
-
     cells = partition_eras(cells_of(plays), official)
-    if persist:
-        cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
+    if keep:
+        cells = kept(cells, "cells")
     era, rest = cells.filter("is_era"), cells.filter("NOT is_era")
     splits = albums.album_splits(rest)
     blank = plays.filter("coalesce(album, '') = ''")
@@ -120,8 +126,7 @@ def analyse(plays: DataFrame, now: int, official: DataFrame | None = None, top_a
     issues = found[0]
     for more in found[1:]:
         issues = issues.unionByName(more)
-    if persist:
-        issues = issues.persist(StorageLevel.MEMORY_AND_DISK)
+    totals = score_totals(cells)
     return Report(
-        cells, splits, rank_issues(issues), profile(plays), chart.hygiene_score(issues, score_totals(cells)), unreleased.overview(cells), chart.chart_impact(rest, splits), summary_by_detector(issues), issues
+        cells, splits, rank_issues(issues), profile(plays), chart.hygiene_score(issues, totals), unreleased.overview(cells), chart.chart_impact(rest, splits), summary_by_detector(issues), totals, keep
     )
