@@ -34,7 +34,7 @@ from playtide.llm.common import materialise, read_table
 MAX_WORDS = 5
 MIN_BITS, MAX_BITS, PART_BITS = 27, 36, 22
 #: Bytes of text that are counted at a time.
-BLOCK = 6 << 20
+BLOCK = 4 << 20
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -127,8 +127,11 @@ def _roll(longer: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
-    mixed = (hashes ^ (hashes >> _SHIFT)) * _ROWS[row]
-    return mixed >> np.uint64(64 - bits)
+    mixed = hashes >> _SHIFT
+    mixed ^= hashes
+    mixed *= _ROWS[row]
+    mixed >>= np.uint64(64 - bits)
+    return mixed
 
 
 # -- first pass: the sketch
@@ -136,22 +139,23 @@ def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 def pack(cells: np.ndarray, part_bits: int) -> Iterator[tuple[int, int, bytes]]:
     """Sorted cells by part, as differences in units of 1, 2 or 4 bytes; a full unit carries on."""
-    parts = (cells >> cells.dtype.type(part_bits)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]])
-    steps = np.r_[cells[:1], np.diff(cells)].astype(np.int64)
-    steps[first] = (cells[first] & cells.dtype.type((1 << part_bits) - 1)).astype(np.int64)
+    if not len(cells):
+        return
+    kind = cells.dtype.type
+    edges = np.flatnonzero(np.diff(cells >> kind(part_bits))) + 1
+    first = np.r_[0, edges]
+    steps = np.diff(cells, prepend=kind(0))
+    steps[first] = cells[first] & kind((1 << part_bits) - 1)
     mean = steps.mean()
     unit = np.dtype(np.uint8 if mean < 64 else np.uint16 if mean < 16_384 else np.uint32)
-    full = np.iinfo(unit).max
-    runs = np.ones(len(steps), dtype=np.int64)
+    full = kind(np.iinfo(unit).max)
     over = np.flatnonzero(steps >= full)
-    runs[over] += steps[over] // full
-    ends = np.cumsum(runs)
-    out = np.full(ends[-1], full, dtype=unit)
-    out[ends - 1] = steps % full
-    edges = np.r_[ends[first] - runs[first], ends[-1]]
+    more = (steps[over] // full).astype(np.int64)
+    steps[over] %= full
+    out = np.insert(steps.astype(unit), np.repeat(over, more), full)
+    begins = np.r_[first + np.r_[0, np.cumsum(more)][np.searchsorted(over, first)], len(out)]
     for i, k in enumerate(first):
-        yield int(parts[k]), unit.itemsize, out[edges[i] : edges[i + 1]].tobytes()
+        yield int(cells[k] >> kind(part_bits)), unit.itemsize, out[begins[i] : begins[i + 1]].tobytes()
 
 
 def unpack(unit: int, blob: bytes) -> np.ndarray:
@@ -178,7 +182,8 @@ def _sketch(bits: int, part_bits: int):
             del held, rolled
             for row in range(len(_ROWS)):
                 cells = _cells(hashes, row, bits)
-                cells = np.sort(cells.astype(np.uint32) if bits <= 32 else cells)
+                cells = cells.astype(np.uint32) if bits <= 32 else cells
+                cells.sort()
                 packed = list(pack(cells, part_bits))
                 yield pa.RecordBatch.from_pydict({
                     "row": pa.array([row] * len(packed), pa.int32()), "part": pa.array([p for p, _, _ in packed], pa.int64()),
