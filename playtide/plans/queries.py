@@ -369,7 +369,7 @@ def chart_impact(spark, d):
 
 def chart_movers(spark, d):
     rest = _rest(spark, d)
-    return chart.movers(chart.album_chart(rest), chart.merged_chart(rest, albums.album_splits(rest)))
+    return chart.chart_movers(rest, albums.album_splits(rest))
 
 
 def _report(spark, d):
