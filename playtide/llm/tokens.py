@@ -120,6 +120,7 @@ class PieceEncoder:
         # for runs: a run that reads like an added token only once it is lower-cased is none
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self._forget_pieces()
         self._forget_runs()
 
@@ -222,10 +223,30 @@ class PieceEncoder:
         self.pieces.new = []
         new = self.runs.new
         for i in range(0, len(new), 10_000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new[i : i + 10_000], add_special_tokens=False)]
+            found = self._ids_of_runs(new[i : i + 10_000])
             self.ids_of.add([t for f in found for t in f], list(map(len, found)))
         self.runs.new = []
 
+    def _ids_of_runs(self, runs: list[str]) -> list[list[int]]:
+        """The library's ids of each run.
+
+        A run of ASCII letters, in lower case where the tokenizer folds, is left alone by its normalizers and
+        not split by its patterns, so the library's BPE model is given it at once; a space before it is what
+        the byte-level step has for one.  Other runs go through the whole tokenizer.
+        """
+        tokenize, space = self.model.tokenize, None if self.fold else " "
+        found: list = [None] * len(runs)
+        others = []
+        for i, run in enumerate(runs):
+            spaced = run[0] == space
+            if run.isascii() and (run[1:] if spaced else run).isalpha() and (not self.fold or run.islower()):
+                found[i] = [t.id for t in tokenize("\u0120" + run[1:] if spaced else run)]
+            else:
+                others.append(i)
+        for i, e in zip(others, self.tokenizer.encode_batch_fast([runs[i] for i in others], add_special_tokens=False), strict=True):
+            found[i] = e.ids
+        return found
+
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's closed by `end`, and how many each text has."""
         if len(self.runs) > self.limits[1]:
