@@ -166,6 +166,15 @@ def d14e_since(spark, d):
     return rows.select("user", "artist", "track", "plays_affected", "confidence", F.col("external.title").alias("release"))
 
 
+def chart_tops(spark, d):
+    """Both top lists of chart_impact(), a row a place, and whether the first place changes."""
+    rest = q._rest(spark, d)
+    rows = chart.chart_impact(rest, albums.album_splits(rest))
+    lists = F.array(*[F.struct(F.lit(name).alias("chart"), F.col(f"{name}_top").alias("top")) for name in ("reported", "corrected")])
+    rows = rows.select("user", "number_one_changes", F.explode(lists).alias("l")).select("user", "number_one_changes", "l.chart", F.explode("l.top").alias("t"))
+    return rows.select("user", "number_one_changes", "chart", "t.rank", "t.album", "t.plays")
+
+
 # The report: every detector's findings in the columns that rank and score them.
 
 
@@ -308,7 +317,7 @@ def counted_hours(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     similarity_ratio, d1_fuzzy, d4_decided, d14a_typos, official_partition, plays_until, album_exists, artist_ids, catalogue_pages, next_offsets, track_releases, track_answers, tracklists, shared_cache, cache_usage,
-    same_recordings, recording_verdicts, d5_targets, d0_aimed, d14e_since, ranked_issues, issue_summary, hygiene, ingested_plays, streamed_hours, streamed_repeats, counted_hours, walked_pages, read_pages, cache_rounds, published_profile,
+    same_recordings, recording_verdicts, d5_targets, d0_aimed, d14e_since, chart_tops, ranked_issues, issue_summary, hygiene, ingested_plays, streamed_hours, streamed_repeats, counted_hours, walked_pages, read_pages, cache_rounds, published_profile,
 )}
 
 
@@ -450,6 +459,28 @@ SELECT coalesce(n.k, w.k) AS k, v, created, CASE WHEN w.k IS NOT NULL THEN coale
     "streamed_repeats": sql.DUPES + 'SELECT "user", uts, artist, track, previous_uts FROM dupes',
 }
 SQL["published_profile"] = f"""SELECT p.*, o.distinct_eras AS eras FROM ({sql.SQL['profile']}) p JOIN ({sql.SQL['era_overview']}) o ON o."user" = p."user\""""
+# Moves one after another: an artist's names and plays as a map, which each move of its queue changes.
+_SETTLED = SPLITS + f""", mv0 AS (SELECT k."user", k.artist_key, k.track_id, k.artist, -k.total AS less, min(k.seq) OVER (PARTITION BY k."user", k.artist_key, k.track_id) AS turn, k.i AS place, k.shown AS album, k.plays AS most, k.kind,
+  CASE WHEN d.reason NOT IN ('structural', 'disproven') AND d.apart THEN d.later ELSE '' END AS wanted FROM k JOIN decided d ON d."user" = k."user" AND d.artist_key = k.artist_key AND d.track_id = k.track_id),
+mv1 AS (SELECT *, {sql.norm('album')} AS name, {sql.norm('wanted')} AS want FROM mv0),
+mv2 AS (SELECT *, CASE WHEN wanted <> '' AND name = want THEN -1 WHEN wanted <> '' AND (contains(name, want) OR contains(want, name)) THEN 0 ELSE list_position({list(chart.SINKS)}, kind) END AS tier FROM mv1),
+mv3 AS (SELECT *, first_value(album) OVER (PARTITION BY "user", artist_key, track_id ORDER BY tier, place) AS target FROM mv2),
+queue AS (SELECT "user", artist, album, target, CAST(most AS BIGINT) AS most, turn, row_number() OVER (PARTITION BY "user", artist ORDER BY less, turn, place) AS n FROM mv3 WHERE album <> target),
+charted AS (SELECT "user", artist, album, CAST(sum(plays) AS BIGINT) AS plays, min(seq) AS seq FROM rest WHERE album <> '' GROUP BY ALL),
+walk AS (SELECT "user", artist, CAST(0 AS BIGINT) AS n, map(list(album), list({{'p': plays, 's': seq}})) AS held FROM charted GROUP BY ALL
+  UNION ALL SELECT w."user", w.artist, w.n + 1, CASE WHEN coalesce(held[q.album].p, 0) = 0 THEN held ELSE map_concat(held, map([q.album, q.target],
+    [{{'p': held[q.album].p - least(q.most, held[q.album].p), 's': held[q.album].s}}, {{'p': coalesce(held[q.target].p, 0) + least(q.most, held[q.album].p), 's': coalesce(held[q.target].s, 4611686018427387904 + q.turn)}}])) END
+  FROM walk w JOIN queue q ON q."user" = w."user" AND q.artist = w.artist AND q.n = w.n + 1),
+ended AS (SELECT "user", artist, unnest(map_entries(held)) AS e FROM (SELECT "user", artist, arg_max(held, n) AS held FROM walk GROUP BY ALL)),
+before AS (SELECT "user", artist, album, plays, row_number() OVER (PARTITION BY "user" ORDER BY plays DESC, seq) AS rank FROM charted),
+after AS (SELECT "user", artist, e.key AS album, e.value.p AS plays, row_number() OVER (PARTITION BY "user" ORDER BY e.value.p DESC, e.value.s) AS rank FROM ended WHERE e.value.p > 0)
+"""
+SQL["chart_movers"] = _SETTLED + """, pair AS (SELECT b."user", b.artist, b.album, b.rank AS rank_before, b.plays AS plays_before, a.rank AS rank_after, a.plays AS plays_after, b.rank - a.rank AS delta,
+  CASE WHEN b.plays = a.plays THEN 'displaced' ELSE 'merged' END AS reason FROM before b JOIN after a ON a."user" = b."user" AND a.artist = b.artist AND a.album = b.album
+  WHERE b.rank <= 200 AND a.rank <= 200 AND least(b.rank, a.rank) <= 120 AND a.rank <> b.rank)
+SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY reason DESC, abs(delta) DESC, CASE WHEN rank_before <= 120 THEN rank_before ELSE 1000 + rank_after END) AS place FROM pair QUALIFY place <= 20"""
+SQL["chart_tops"] = _SETTLED + """, tops AS (SELECT "user", 'reported' AS chart, rank, artist || '␟' || album AS album, plays FROM before WHERE rank <= 25 UNION ALL SELECT "user", 'corrected', rank, artist || '␟' || album, plays FROM after WHERE rank <= 25)
+SELECT *, max(album) FILTER (WHERE rank = 1) OVER (PARTITION BY "user") <> min(album) FILTER (WHERE rank = 1) OVER (PARTITION BY "user") AS number_one_changes FROM tops"""
 _ALL = f"WITH found AS ({_detected()})\n"
 SQL["issue_summary"] = _ALL + 'SELECT "user", detector, count(*) AS issues, CAST(sum(plays_affected) AS BIGINT) AS plays_affected FROM found GROUP BY "user", detector'
 SQL["ranked_issues"] = _ALL + """, k AS (SELECT *, CAST(style OR class NOT IN ('error', 'split') AS INT) AS idle, CASE WHEN detector = 'D5' THEN 0 WHEN detector IN ('D0', 'D4', 'D15') THEN 1 WHEN detector = 'D8' THEN 2 WHEN detector = 'D1' THEN 3 WHEN detector = 'D11' THEN 4 WHEN detector IN ('D6', 'D12') THEN 5 ELSE 6 END AS tier FROM found),
