@@ -135,6 +135,19 @@ def within_edits(a: Column, b: Column, limit: Column | int) -> Column:
     return F.levenshtein(a, b) <= limit
 
 
+def ratio_bound(a: Column, b: Column) -> Column:
+    """At least the ratio of similar(): twice the letters that both names hold, however placed, over all.
+
+    Characters count as code points, of which one beyond the basic plane is two units to similar(): such names are given 1.
+    """
+    letters = F.array_distinct(F.split(a, ""))
+    many = lambda x, c: F.length(x) - F.length(F.replace(x, c, F.lit("")))
+    common = F.aggregate(letters, F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(many(a, c), many(b, c))))
+    wide = F.rlike(F.concat(a, b), F.lit("[^\\x00-\\uFFFF]"))
+    whole = F.length(a) + F.length(b)
+    return F.when(wide | (whole == 0), 1.0).otherwise(2.0 * common / whole)
+
+
 def utc(uts: Column) -> Column:
     """Epoch seconds as a UTC wall clock, whatever the session's time zone."""
     return F.timestamp_add("SECOND", uts, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))

@@ -137,3 +137,40 @@ def test_explicit_era_is_the_same_built_in(spark):
     got = spark.createDataFrame([(a,) for a in albums], "a string").select("a", keys.explicit_era(F.col("a")).alias("e")).collect()
     assert [(r.a, r.e) for r in got if r.e != eras.parse(r.a).explicit] == []
     assert 500 < sum(r.e for r in got) < 3500
+
+
+def test_ratio_bound_is_never_below_the_ratio(spark):
+    from pyspark.sql import functions as F
+
+    from playtide.functions import keys
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abc é😀'") for _ in range(rng.randint(0, 8)))
+    rows = [(word(), word()) for _ in range(3000)]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", keys.ratio_bound(F.col("a"), F.col("b")).alias("bound")).collect()
+    assert all(r.bound >= strings.similar(r.a, r.b) - 1e-12 for r in got)
+    plain = [r for r in got if (r.a + r.b).replace("😀", "") == r.a + r.b]
+    assert sum(r.bound < 0.82 for r in plain) > len(plain) / 2
+
+
+def test_keys_by_dictionary_are_those_of_each_row(spark):
+    from pyspark.sql import functions as F
+
+    from playtide.functions import keys
+
+    rng = random.Random(7)
+    parts = ["Song", "song", "!!!", "", "Deluxe", " - Single", "(feat. X)", "(Rodeo Era)", "Unreleased", "Greatest Hits", "é", "(no album)", "Intro", " "]
+    name = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(0, 3)))
+    rows = [(name(), name(), name()) for _ in range(2000)]
+    got = keys.with_keys(spark.createDataFrame(rows, "artist string, album string, track string").repartition(3)).collect()
+    for r in got:
+        e = eras.parse(r.album)
+        want = (
+            strings.norm(r.artist), strings.norm_artist(r.artist), strings.norm(r.album), strings.norm_title(r.album), strings.norm(r.track), strings.norm_title(r.track), strings.track_identity(r.track), titles.base_title(r.track),
+            titles.credits(r.track), e.explicit, e.weak, e.ambiguous, e.name, e.undifferentiated, titles.album_kind(r.album or strings.NO_ALBUM, r.track), titles.is_structural(r.track), titles.single_shaped(r.album, r.track),
+        )
+        assert want == (
+            r.artist_key, r.artist_fold, r.album_key, r.album_title, r.track_key, r.track_title, r.track_id, r.track_base,
+            r.credits, r.era_explicit, r.era_weak, r.era_ambiguous, r.era_name, r.undifferentiated, r.kind, r.structural, r.single_shaped,
+        ), r
+    assert F and len(got) == 2000
