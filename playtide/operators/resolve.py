@@ -132,13 +132,15 @@ def verification_plan(issues: DataFrame) -> DataFrame:
 def verify_era_names(issues: DataFrame, exists: DataFrame) -> DataFrame:
     """Typo findings settled by exists(artist, title, exists), whose missing rows and nulls mean unknown.
 
+    Names are asked for once but for case, so an answer holds for all spellings of that kind.
     Both names real: no finding.  The rarer one real: doubtful.  The other alone real: likely a
     typo.  Neither: for information.  Unknown: unconfirmed.
     """
     plain, asked = issues.filter("verify IS NULL"), issues.filter("verify IS NOT NULL")
+    answers = exists.groupBy(F.lower("artist").alias("__artist"), F.lower("title").alias("__title")).agg(F.max("exists").alias("__exists"))
     for n in "ab":
-        side = exists.select(F.col("artist").alias("__artist"), F.col("title").alias("__title"), F.col("exists").alias(f"__{n}"))
-        asked = asked.join(side, (F.col("verify.artist") == F.col("__artist")) & (F.col(f"verify.{n}") == F.col("__title")), "left").drop("__artist", "__title")
+        side = answers.withColumnRenamed("__exists", f"__{n}")
+        asked = asked.join(side, (F.lower("verify.artist") == F.col("__artist")) & (F.lower(f"verify.{n}") == F.col("__title")), "left").drop("__artist", "__title")
     a, b, v = F.col("__a"), F.col("__b"), F.col("verify")
     unknown = a.isNull() | b.isNull()
     asked = asked.filter(unknown | ~(a & b))

@@ -166,6 +166,20 @@ def d14e_since(spark, d):
     return rows.select("user", "artist", "track", "plays_affected", "confidence", F.col("external.title").alias("release"))
 
 
+def era_checked(spark, d):
+    """Probable typos of era names once both names have been looked up."""
+    found = unreleased.format_variants(q._era(spark, d)).filter("verify IS NOT NULL")
+    rows = resolve.verify_era_names(found, q._era_answers(found))
+    return rows.select("user", "artist", "class", "confidence", "plays_affected")
+
+
+def joint_checked(spark, d):
+    """Joint credits once their names have been looked up: real ones go, unreal ones gain confidence."""
+    found = artists.feature_credits(q._rest(spark, d)).filter("verify_artist IS NOT NULL")
+    rows = resolve.verify_joint_credits(found, q._artist_answers(spark, d))
+    return rows.select("user", "artist", "confidence", "plays_affected", "evidence")
+
+
 def chart_tops(spark, d):
     """Both top lists of chart_impact(), a row a place, and whether the first place changes."""
     rest = q._rest(spark, d)
@@ -317,7 +331,7 @@ def counted_hours(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     similarity_ratio, d1_fuzzy, d4_decided, d14a_typos, official_partition, plays_until, album_exists, artist_ids, catalogue_pages, next_offsets, track_releases, track_answers, tracklists, shared_cache, cache_usage,
-    same_recordings, recording_verdicts, d5_targets, d0_aimed, d14e_since, chart_tops, ranked_issues, issue_summary, hygiene, ingested_plays, streamed_hours, streamed_repeats, counted_hours, walked_pages, read_pages, cache_rounds, published_profile,
+    same_recordings, recording_verdicts, d5_targets, d0_aimed, d14e_since, era_checked, joint_checked, chart_tops, ranked_issues, issue_summary, hygiene, ingested_plays, streamed_hours, streamed_repeats, counted_hours, walked_pages, read_pages, cache_rounds, published_profile,
 )}
 
 
@@ -459,6 +473,14 @@ SELECT coalesce(n.k, w.k) AS k, v, created, CASE WHEN w.k IS NOT NULL THEN coale
     "streamed_repeats": sql.DUPES + 'SELECT "user", uts, artist, track, previous_uts FROM dupes',
 }
 SQL["published_profile"] = f"""SELECT p.*, o.distinct_eras AS eras FROM ({sql.SQL['profile']}) p JOIN ({sql.SQL['era_overview']}) o ON o."user" = p."user\""""
+_A, _B = (f"CASE WHEN length({n}) % 3 > 0 THEN length({n}) % 2 = 0 END" for n in ("rare", "usual"))
+SQL["era_checked"] = _recursive(sql.CELLS) + _TYPOS + f""", v AS (SELECT *, {_A} AS a, {_B} AS b FROM typos)
+SELECT "user", artist, CASE WHEN a AND NOT b THEN 'review' ELSE 'error' END AS class, CAST(CASE WHEN a IS NULL OR b IS NULL THEN 0.25 WHEN b THEN 0.85 WHEN a THEN 0.4 ELSE 0.3 END AS DOUBLE) AS confidence, CAST(lo_plays + hi_plays AS BIGINT) AS plays_affected
+FROM v WHERE a IS NULL OR b IS NULL OR NOT (a AND b)"""
+SQL["joint_checked"] = f"""WITH j AS ({sql.SQL['d8_joint']}), e AS (SELECT DISTINCT p_brand || ' & Brand#1' AS artist, substr(p_brand, 7, 1) = '2' AS real FROM part),
+c AS (SELECT j.*, e.real, CASE WHEN albums <= 1 THEN 0.6 ELSE 0.35 END AS base FROM j LEFT JOIN e ON e.artist = j.artist)
+SELECT "user", artist, CAST(CASE WHEN NOT real THEN least(0.75, base + 0.15) ELSE base END AS DOUBLE) AS confidence, CAST(plays AS BIGINT) AS plays_affected, CASE WHEN NOT real THEN 'no artist page under this name' END AS evidence FROM c WHERE real IS NULL OR NOT real"""
+
 # Moves one after another: an artist's names and plays as a map, which each move of its queue changes.
 _SETTLED = SPLITS + f""", mv0 AS (SELECT k."user", k.artist_key, k.track_id, k.artist, -k.total AS less, min(k.seq) OVER (PARTITION BY k."user", k.artist_key, k.track_id) AS turn, k.i AS place, k.shown AS album, k.plays AS most, k.kind,
   CASE WHEN d.reason NOT IN ('structural', 'disproven') AND d.apart THEN d.later ELSE '' END AS wanted FROM k JOIN decided d ON d."user" = k."user" AND d.artist_key = k.artist_key AND d.track_id = k.track_id),

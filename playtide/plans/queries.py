@@ -355,11 +355,13 @@ def d16_stranded(spark, d):
     return resolve.stranded_singles(resolve.single_candidates(rest), _lookup(spark, d), rest.select("user", "album_key").distinct(), lastfm)
 
 
+def _era_answers(found):
+    return resolve.verification_plan(found).select("artist", "title", F.when(F.length("title") % 3 > 0, F.length("title") % 2 == 0).alias("exists"))
+
+
 def era_verified(spark, d):
     found = unreleased.format_variants(_era(spark, d))
-    names = resolve.verification_plan(found)
-    answers = names.select("artist", "title", F.when(F.length("title") % 3 > 0, F.length("title") % 2 == 0).alias("exists"))
-    return resolve.verify_era_names(found, answers)
+    return resolve.verify_era_names(found, _era_answers(found))
 
 
 def chart_impact(spark, d):
@@ -384,11 +386,14 @@ def hygiene_score(spark, d):
     return _report(spark, d).hygiene
 
 
+def _artist_answers(spark, d):
+    return _part(spark, d).select(F.concat("p_brand", F.lit(" & Brand#1")).alias("artist"), (F.substring("p_brand", 7, 1) == "2").alias("exists")).distinct()
+
+
 def resolved_issues(spark, d):
     rest = _rest(spark, d)
     found = albums.album_splits(rest).unionByName(artists.feature_credits(rest)).unionByName(albums.missing_albums(rest, source.lineitem_plays(spark, d).filter("album = ''")))
-    exists = _part(spark, d).select(F.concat("p_brand", F.lit(" & Brand#1")).alias("artist"), (F.substring("p_brand", 7, 1) == "2").alias("exists")).distinct()
-    return resolve.resolve(kept(found, "findings"), _lookup(spark, d), exists)
+    return resolve.resolve(kept(found, "findings"), _lookup(spark, d), _artist_answers(spark, d))
 
 
 QUERIES = {
