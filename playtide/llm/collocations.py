@@ -267,23 +267,35 @@ def _phrases(block: Block, first: np.ndarray, n: int) -> pa.Array:
 _COUNTED = "part int, lang array<string>, words array<int>, phrase array<string>, n array<bigint>"
 
 
-def _count(sent, parts: int):
-    """Exact counts of a block's survivors, its phrases dealt to parts by their hash: a row a part."""
-
-    def dealt(block: Block, found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        first, n, many, hashes = (np.concatenate([f[i] for f in found]) for i in (1, 0, 2, 3))
-        part = (hashes * _ROWS[0] >> _SHIFT).astype(np.int64) % parts
-        order = np.argsort(part, kind="stable")
-        phrases = pa.concat_arrays([_phrases(block, at, k[0]) if k[0] else pa.array([b""] * len(at), pa.binary()) for k, at, _, _ in found])
-        langs = pa.array(block.langs, pa.string()).take(pa.array(block.lang[first[order]]))
-        named, begins = np.unique(part[order], return_index=True)
+def _summed(held: list[pa.Table], *by: str) -> pa.Table:
+    out = pa.concat_tables(held).group_by(list(by)).aggregate([("n", "sum")])
+    return out.select([*by, "n_sum"]).rename_columns([*by, "n"])
+
+
+def _count(sent, parts: int, most_held: int = 600_000):
+    """Exact counts of the survivors of some blocks, dealt to parts by the phrases' hash: a row a part."""
+
+    def table(block: Block, found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
+        n, first, many, hashes = (np.concatenate([f[i] for f in found]) for i in range(4))
+        phrases = [_phrases(block, at, k[0]) if k[0] else pa.array([b""] * len(at), pa.binary()) for k, at, _, _ in found]
+        columns = {
+            "part": pa.array(((hashes * _ROWS[0] >> _SHIFT).astype(np.int64) % parts).astype(np.int32)),
+            "lang": pa.array(block.langs, pa.string()).take(pa.array(block.lang[first])),
+            "words": pa.array(n.astype(np.int32)), "phrase": pa.concat_arrays(phrases).cast(pa.string()), "n": pa.array(many.astype(np.int64)),
+        }
+        return pa.table(columns)
+
+    def dealt(held: list[pa.Table]) -> pa.RecordBatch:
+        whole = _summed(held, "part", "lang", "words", "phrase")
+        order = np.argsort(whole["part"].to_numpy(), kind="stable")
+        whole = whole.take(pa.array(order)).combine_chunks()
+        named, begins = np.unique(whole["part"].to_numpy(), return_index=True)
         edges = pa.array(np.r_[begins, len(order)].astype(np.int32))
-        columns = (langs, pa.array(n[order].astype(np.int32)), phrases.take(pa.array(order)).cast(pa.string()), pa.array(many[order].astype(np.int64)))
-        listed = [pa.ListArray.from_arrays(edges, c) for c in columns]
-        return pa.RecordBatch.from_arrays([pa.array(named.astype(np.int32)), *listed], names=["part", "lang", "words", "phrase", "n"])
+        names = ["lang", "words", "phrase", "n"]
+        return pa.RecordBatch.from_arrays([pa.array(named), *[pa.ListArray.from_arrays(edges, whole[c].chunk(0)) for c in names]], names=["part", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = sent.value
+        heavy, held = sent.value, []
         for block in blocks(batches):
             _, first, many = np.unique(block.lang, return_index=True, return_counts=True)
             found = [(np.zeros(len(first), dtype=np.int64), first, many, _lang_hashes(block)[block.lang[first]])]
@@ -306,7 +318,12 @@ def _count(sent, parts: int):
                 go, hashes = go[left := _survives(rolled, heavy)], rolled[left]
                 at = at[go]
                 keys = inverse[go] * len(block.words) + block.index[at + n]
-            yield dealt(block, found)
+            held.append(table(block, found))
+            if sum(t.num_rows for t in held) > most_held:
+                yield dealt(held)
+                held = []
+        if held:
+            yield dealt(held)
 
     return run
 
@@ -314,12 +331,8 @@ def _count(sent, parts: int):
 def _add_up(least: int, most_held: int = 1 << 20):
     """Sums the counts of each part, which come sorted by part, and keeps those that reach `least`."""
 
-    def summed(held: list[pa.Table]) -> pa.Table:
-        out = pa.concat_tables(held).group_by(["lang", "words", "phrase"]).aggregate([("n", "sum")])
-        return out.select(["lang", "words", "phrase", "n_sum"]).rename_columns(["lang", "words", "phrase", "n"])
-
     def frequent(held: list[pa.Table]) -> list[pa.RecordBatch]:
-        out = summed(held)
+        out = _summed(held, "lang", "words", "phrase")
         return out.filter(pc.or_(pc.greater_equal(out["n"], least), pc.equal(out["words"], 0))).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +346,7 @@ def _add_up(least: int, most_held: int = 1 << 20):
                 held.append(pa.table({c: batch.column(c).slice(i, 1).flatten() for c in ("lang", "words", "phrase", "n")}))
                 rows += held[-1].num_rows
                 if rows > limit:
-                    held = [summed(held)]
+                    held = [_summed(held, "lang", "words", "phrase")]
                     rows = held[0].num_rows
                     limit = max(most_held, 2 * rows)
         if held:
