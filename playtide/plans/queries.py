@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from playtide.functions import keys
 from playtide.operators import albums, artists, catalogue, chart, resolve, timing, unreleased
 from playtide.operators.cells import cells_of, partition_eras, weak_era_candidates
+from playtide.operators.names import edit_pairs
 from playtide.plans import report
 from playtide.sources import cache, releases
 from playtide.sources import plays as source
@@ -251,10 +252,7 @@ def cache_freshness(spark, d):
 
 
 def edit_distance_pairs(spark, d):
-    names = _part(spark, d).select("p_name").distinct()
-    a, b = names.select(F.col("p_name").alias("a")), names.select(F.col("p_name").alias("b"))
-    budget = keys.typo_budget(F.col("a"), F.col("b"))
-    return a.join(b, (F.col("a") < F.col("b")) & keys.within_edits(F.col("a"), F.col("b"), budget)).select("a", "b", budget.alias("budget"))
+    return edit_pairs(_part(spark, d), "p_name")
 
 
 def profile(spark, d):
