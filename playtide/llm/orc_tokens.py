@@ -5,8 +5,9 @@ writer: one file a range, stripes readable on their own, doc_id ascending within
 files, so that row-index minima and maxima and the Bloom filters prune a lookup by id.
 
 Defined results: a null text is empty and holds the end id alone; repeated rows and equal ids
-are stored as often as they occur, side by side; an empty table gives an empty file set; extra
-columns are ignored; very long texts are encoded whole and one row holds them.
+are stored as often as they occur, side by side, and counted in the order of their ids' crc32; an
+empty table gives an empty file set; extra columns are ignored; very long texts are encoded whole and
+one row holds them.
 """
 
 from __future__ import annotations

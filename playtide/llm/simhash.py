@@ -2,8 +2,9 @@
 
 Defined results: a null, empty or blank text has fingerprint zero and links like any other
 document; texts of fewer words than a shingle use their whole word sequence; repeated rows
-and equal texts share a fingerprint and so a component; an empty table gives no rows; columns
-other than the id and the text are ignored.  Very long texts are fingerprinted whole.
+and equal texts share a fingerprint and so a component; rows without an id link like others but
+name no component, so one of such rows alone has the component null; an empty table gives no rows;
+columns other than the id and the text are ignored.  Very long texts are fingerprinted whole.
 """
 
 from __future__ import annotations
