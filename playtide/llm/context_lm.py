@@ -2,19 +2,23 @@
 
 Symbols are tokens.  The root's distribution is that of the training tokens, with as much weight
 as there are distinct words left for new ones; a new word is spelled by the byte tree of
-suffix_lm, learned from the distinct words.  A context is the word before.  Words that make up
-`share` of the training tokens can be states, which bounds the states by 1/share at every size;
-such a word is a state if the distribution of what follows it diverges from the root's by `gain`
-nats over its occurrences.  A state's distribution is smoothed by absolute discounting: each
-distinct follower gives up one occurrence, and these are dealt out as the root has it.  What
-occurs once is so no evidence, neither for the text it comes from nor for others.
-
-With n(a,b) occurrences of b after the state a, T(a) distinct followers and the root's P(b),
-log P(b|a) = log P(b) + log(T(a)/n(a)) + log(1 + (n(a,b)-1) / (T(a) P(b))), so a text's score is a
-sum over its tokens, over its states, and over its pairs of words, each of which can be looked
-up where it is counted.
-
-Pairs are as many as the corpus is long, so they are neither collected nor broadcast.  Each task
+suffix_lm, learned from the distinct words.  A context is the words before, up to `words` of them.
+The tree grows a word at a time: contexts that make up `share` of the training tokens can be
+states, which bounds the states of each length by 1/share at every size; such a context is a state
+if the distribution of what follows it diverges from that of its longest suffix that is a state (or
+the root's) by `gain` nats over its occurrences.  A context is frequent only if its suffixes are, so
+none is missed.  A text is scored with the longest state before each token.  A state's distribution
+is smoothed by absolute discounting: each distinct follower gives up one occurrence, and these are
+dealt out as the state below has it.  What occurs once is so no evidence, neither for the text it
+comes from nor for others.
+
+With n(s,b) occurrences of b after the state s, T(s) distinct followers, and P(b) after the state
+below (the root at last), log P(b|s) = log P(b) + log(T(s)/n(s)) + log(1 + (n(s,b)-1) / (T(s) P(b))).
+All that a token needs is counted under its own word or under the shortest pair of a context and
+the word that is not frequent, so it is looked up in one part.
+
+Pairs of a context and a word are as many as the corpus is long, so they are neither collected nor
+broadcast; those of each length are counted once the shorter contexts are known.  Each task
 sums its own, deals them to parts by a hash and sends one blob a part; a part counts its pairs.
 Texts then ask the parts in the same way and get sums by document back.  Pairs and words that
 make up `share` of the corpus are known to all tasks (1/share of them at most) and ask nobody,
@@ -31,6 +35,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +47,11 @@ from pyspark.sql import functions as F
 from playtide.llm.common import bucket_of_id, chunked, materialise, read_table, record_batch, take, texts
 from playtide.llm.suffix_lm import SuffixTree, count_words, learn, tokens
 
-#: Bits of a state's or frequent word's number; 1/share must stay below.
-BITS = 20
+#: Bits of a state's or frequent word's number; the states of all lengths must stay below.
+BITS = 21
 NONE = (1 << BITS) - 1
 #: Kinds of rows that are dealt out: what a part knows, what is asked of it, what is only passed on.
-MODEL, STATS, FREQUENT, ASK, LOCAL = range(5)
+MODEL, STATS, FREQUENT, ASK, LOCAL, COUNTS = range(6)
 _BLOBS = ("b0", "b1", "b2", "b3", "b4", "b5")
 _SCHEMA = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), *[(b, pa.binary()) for b in _BLOBS]])
 _DDL = "part int, kind int, batch long, " + ", ".join(f"{b} binary" for b in _BLOBS)
@@ -111,6 +116,14 @@ class Head:
         return np.log10((c + 0.5) / (self.total + 0.5 * (self.kinds + 1)))
 
 
+def _before(number: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Number of the word before each token, or NONE."""
+    before = np.full(len(number), NONE, dtype=np.int64)
+    before[1:] = np.where(number[:-1] >= 0, number[:-1], NONE)
+    before[np.cumsum(sizes) - sizes] = NONE  # every text has a token
+    return before
+
+
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
@@ -151,10 +164,7 @@ class _Reader:
             self.spelled = np.concatenate((self.spelled, spelled))
         word = np.array(flat, dtype=np.int64)
         number = self.id[word]
-        before = np.full(len(word), NONE, dtype=np.int64)
-        before[1:] = np.where(number[:-1] >= 0, number[:-1], NONE)
-        before[np.cumsum(sizes) - sizes] = NONE  # every text has a token
-        return np.repeat(np.arange(len(data)), sizes), number, before, self.hash[word], self.spelled[word], sizes
+        return np.repeat(np.arange(len(data)), sizes), number, _before(number, sizes), self.hash[word], self.spelled[word], sizes
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], tokens_held: int) -> Iterator[list[pa.RecordBatch]]:
@@ -181,25 +191,146 @@ def _runs(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
-def count_pairs(train: DataFrame, head, parts: int, text_col: str, tokens_held: int) -> DataFrame:
-    """Blobs of pairs by part: (state, frequent word) with counts, and (other word, state or NONE) with counts."""
+def _find(names: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each x in the sorted names, and whether it is there."""
+    if not len(names):
+        return np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=bool)
+    at = np.minimum(np.searchsorted(names, x), len(names) - 1)
+    return at, names[at] == x
+
+
+def _key(state: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return (state.astype(np.uint64) << np.uint64(BITS)) | word.astype(np.uint64)
+
+
+class Known:
+    """What all tasks know of contexts and of frequent pairs (context, word).
+
+    Contexts of one word have the numbers of the frequent words; a frequent pair is itself a context
+    of a word more, and has the number after those by its place in `pairs`.  Contexts of more
+    words have higher numbers, so the pairs of all lengths are one sorted array.
+    """
+
+    def __init__(self, head: Head):
+        self.words = len(head.words)
+        self.counts = head.counts.astype(np.float64)
+        self.pairs, self.worth = np.zeros(0, np.uint64), np.zeros(0)  # worth: log10 of the word's probability
+        self.parent = np.full(self.words, NONE, np.int64)  # without the oldest word
+        self.up = self.parent.copy()  # the longest proper suffix that is a state
+        self.kept, self.kinds, self.weight = np.zeros(self.words, bool), np.zeros(self.words), np.zeros(self.words)
+        self.first = 0  # of the longest contexts
+
+    def top(self, context: np.ndarray) -> np.ndarray:
+        """The longest suffix, itself included, that is a state."""
+        out = context.copy()
+        there = context != NONE
+        c = context[there]
+        out[there] = np.where(self.kept[c], c, self.up[c])
+        return out
+
+    def contexts(self, number: np.ndarray, before: np.ndarray, words: int) -> list[np.ndarray]:
+        """By length, the context of each token; NONE where it is not frequent or the text is too short."""
+        out = [before]
+        for _ in range(words - 1):
+            last, longer = out[-1], np.full(len(before), NONE, np.int64)
+            at = np.flatnonzero((before[1:] != NONE) & (last[:-1] != NONE))
+            place, hit = _find(self.pairs, _key(last[at], number[at]))
+            longer[at[hit] + 1] = self.words + place[hit]
+            out.append(longer)
+        return out
+
+    def route(self, contexts: list[np.ndarray], word: np.ndarray) -> np.ndarray:
+        """The shortest pair of one of the contexts and the word that is not frequent, or else the longest."""
+        out = _key(contexts[0], word)
+        open_ = np.arange(len(word))
+        for longer in contexts[1:]:
+            open_ = open_[(longer[open_] != NONE) & _find(self.pairs, out[open_])[1]]
+            out[open_] = _key(longer[open_], word[open_])
+        return out
+
+    def log10(self, state: np.ndarray, root: np.ndarray, times) -> np.ndarray:
+        """log10 of the probability of words after states (or NONE), root being that at the root; times(states, where) counts the pairs."""
+        chain, at = [], state
+        while (at != NONE).any():
+            chain.append(at)
+            at = np.where(at != NONE, self.up[np.where(at != NONE, at, 0)], NONE)
+        p = np.array(root, dtype=np.float64)
+        for at in reversed(chain):
+            live = np.flatnonzero(at != NONE)
+            s = at[live]
+            more = np.maximum(times(s, live) - 1.0, 0.0)
+            p[live] += self.weight[s] + np.log10(1 + more / (self.kinds[s] * 10.0 ** p[live]))
+        return p
+
+    def times(self, key: np.ndarray) -> np.ndarray:
+        """How often frequent pairs occur, 0 for others."""
+        at, hit = _find(self.pairs, key)
+        out = np.zeros(len(key))
+        out[hit] = self.counts[self.words + at[hit]]
+        return out
+
+    def grow(self, head: Head, kinds: np.ndarray, total: np.ndarray, gain: float, pairs: np.ndarray, n: np.ndarray) -> None:
+        """Settle which of the longest contexts are states, and take up their frequent pairs."""
+        new = slice(self.first, len(self.counts))
+        self.kinds[new] = kinds[new]
+        self.kept[new] = (total[new] >= gain) & (kinds[new] > 0)
+        self.weight = np.where(self.kept, np.log10(np.maximum(self.kinds, 1) / np.maximum(self.counts, 1)), 0.0)
+        order = np.argsort(pairs)
+        pairs, n = pairs[order], n[order].astype(np.float64)
+        self.first = len(self.counts)
+        context, word = (pairs >> np.uint64(BITS)).astype(np.int64), (pairs & np.uint64(NONE)).astype(np.int64)
+        short = self.parent[context] if len(pairs) else context
+        place, _ = _find(self.pairs, _key(short, word))
+        parent = np.where(short == NONE, word, self.words + place)
+        self.pairs, self.counts = np.concatenate((self.pairs, pairs)), np.concatenate((self.counts, n))
+        self.parent = np.concatenate((self.parent, parent))
+        self.up = np.concatenate((self.up, self.top(parent) if len(parent) else parent))
+        none = np.zeros(len(pairs))
+        self.kept, self.kinds, self.weight = np.concatenate((self.kept, none.astype(bool))), np.concatenate((self.kinds, none)), np.concatenate((self.weight, none))
+        worth = self.log10(self.top(context), head.root(head.counts)[word] if len(word) else none, lambda s, at: self.times(_key(s, word[at])))
+        self.worth = np.concatenate((self.worth, worth))
+
+
+def count_pairs(train: DataFrame, head, parts: int, text_col: str, tokens_held: int, known=None, words: int = 1) -> DataFrame:
+    """Blobs of pairs by part, of contexts of so many words: (context, frequent word) with counts, and (other word, context) with counts.
+
+    Those of one word also count every other word, after NONE where nothing frequent stands before it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(head.value)
+        h = head.value
+        k = Known(h) if known is None else known.value
+        reader = _Reader(h)
         for held in _gathered(batches, tokens_held):
-            _, number, before, hashes, _, _ = reader.read([t for b in held for t in texts(b.column("text"))])
-            both = (number >= 0) & (before != NONE)
-            pair, n = np.unique((before[both] << BITS | number[both]).astype(np.uint64), return_counts=True)
-            rare = number < 0
-            (word, state), m = summed((hashes[rare], before[rare]), np.ones(int(rare.sum()), np.int64))
-            o, at = _runs(part_of(pair, parts), parts)
+            data = [t for b in held for t in texts(b.column("text"))]
+            flat: list[bytes] = []
+            if words == 1:
+                _, number, before, hashes, _, _ = reader.read(data)
+            else:  # few words stand after a longer context, so only theirs are hashed
+                each = [tokens(t) for t in data]
+                flat = [w for t in each for w in t]
+                number = np.fromiter(map(h.number.get, flat, repeat(-1)), np.int64, len(flat))
+                before = _before(number, np.fromiter(map(len, each), np.int64, len(each)))
+            contexts = k.contexts(number, before, words)
+            last = contexts[-1]
+            both = (number >= 0) & (last != NONE)
+            pair, at, n = np.unique(_key(last[both], number[both]), return_index=True, return_counts=True)
+            to = pair if words == 1 else k.route([c[both][at] for c in contexts], number[both][at])
+            rare = (number < 0) & ((last != NONE) | (words == 1))
+            if words > 1:
+                some = np.flatnonzero(rare).tolist()
+                other = np.fromiter((xxhash.xxh64_intdigest(flat[i], 42) for i in some), np.uint64, len(some))
+            else:
+                other = hashes[rare]
+            (word, state), m = summed((other, last[rare]), np.ones(len(other), np.int64))
+            o, at = _runs(part_of(to, parts), parts)
             p, on = _runs(part_of(word, parts), parts)
             pair, n, word, state, m = pair[o], n[o], word[p], state[p], m[p]
             out = []
             for i in range(parts):
                 x, y = slice(at[i], at[i + 1]), slice(on[i], on[i + 1])
                 if x.start < x.stop or y.start < y.stop:
-                    out.append((i, MODEL, 0, planes(pair[x]), planes(n[x].astype(np.uint32)), planes(word[y]), planes(state[y].astype(np.uint32)), planes(m[y].astype(np.uint32)), None))
+                    out.append((i, COUNTS, 0, planes(pair[x]), planes(n[x].astype(np.uint32)), planes(word[y]), planes(state[y].astype(np.uint32)), planes(m[y].astype(np.uint32)), None))
             if out:
                 yield _rows(out)
 
@@ -219,46 +350,87 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict
         yield held[0]["part"], held
 
 
-def model_parts(pairs: DataFrame, head, parts: int, share: float) -> DataFrame:
-    """What each part knows: MODEL rows (pairs that occur twice or more, counts of other words), STATS by block of states, FREQUENT pairs."""
+class _Part:
+    """What a part knows: pairs that occur twice or more, counts of other words, and pairs of a context and such a word."""
+
+    def __init__(self, rows: list[dict]):
+        columns = [[values(r[b], np.uint64) for r in rows] or [np.zeros(0, np.uint64)] for b in _BLOBS]
+        self.pair, self.n, self.other, self.c, self.key, self.m = map(np.concatenate, columns)
+        if len(rows) > 1:  # contexts of more words have higher numbers, so pairs are sorted as they are
+            order = np.argsort(self.key, kind="stable")
+            self.key, self.m = self.key[order], self.m[order]
+
+    @staticmethod
+    def _times(names: np.ndarray, n: np.ndarray, x: np.ndarray) -> np.ndarray:
+        at, hit = _find(names, x)
+        return np.where(hit, n[at], 0).astype(np.float64) if len(n) else np.zeros(len(x))
+
+    def after(self, known: Known, state: np.ndarray, word: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """log10 of the probability of frequent words after states."""
+
+        def times(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+            key = _key(s, word[at])
+            return np.maximum(known.times(key), self._times(self.pair, self.n, key))
+
+        return known.log10(state, root, times)
+
+    def other_after(self, known: Known, state: np.ndarray, place: np.ndarray, there: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """The same for other words, by their places, where they are there."""
+        return known.log10(state, root, lambda s, at: np.where(there[at], self._times(self.key, self.m, _key(place[at], s)), 0.0))
+
+
+def model_parts(pairs: DataFrame, head, parts: int, share: float, known=None, model: DataFrame | None = None, words: int = 1) -> DataFrame:
+    """What each part knows of contexts of so many words: MODEL rows, STATS by block of contexts, FREQUENT pairs.
+
+    known and model are what is known of shorter contexts, which the divergence is measured against.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = head.value
+        k = Known(h) if known is None else known.value
         least = max(2.0, share * h.total)
         of_word = h.root(h.counts)
         for part, rows in _by_part(batches):
-            get = lambda b, dtype: np.concatenate([values(r[b], dtype) for r in rows])  # noqa: E731, B023
+            below = _Part([r for r in rows if r["kind"] == MODEL])
+            rows = [r for r in rows if r["kind"] == COUNTS]
+            get = lambda b, dtype: np.concatenate([values(r[b], dtype) for r in rows] or [np.zeros(0, dtype)])  # noqa: E731, B023
             (pair,), n = summed((get("b0", np.uint64),), get("b1", np.uint32).astype(np.int64))
             (word, state), m = summed((get("b2", np.uint64), get("b3", np.uint32)), get("b4", np.uint32).astype(np.int64))
-            (other,), c = summed((word,), m)
-            place = np.searchsorted(other, word)
-            # a state's distinct followers and its divergence, as far as this part's pairs go
-            first = (pair >> np.uint64(BITS)).astype(np.int64)
-            second = (pair & np.uint64(NONE)).astype(np.int64)
+            other = c = np.zeros(0, np.uint64)
+            if words == 1:
+                (other,), c = summed((word,), m)
+                below.other, below.c = other, c
+            place = np.searchsorted(below.other, word)
+            # a context's distinct followers and its divergence, as far as this part's pairs go
+            first, second = (pair >> np.uint64(BITS)).astype(np.int64), (pair & np.uint64(NONE)).astype(np.int64)
             after = state != NONE
-            s = np.concatenate((first, state[after].astype(np.int64)))
+            behind, spot = state[after].astype(np.int64), place[after]
+            s = np.concatenate((first, behind))
             times = np.concatenate((n, m[after])).astype(np.float64)
-            below = np.concatenate((of_word[second], h.root(c)[place[after]]))
-            gain = times * (np.log(times / h.counts[s]) - math.log(10) * below)
-            kinds, total = np.bincount(s), np.bincount(s, weights=gain)
-            some = np.flatnonzero(kinds)
+            lower = below.after(k, k.up[first], second, of_word[second]) if len(pair) else np.zeros(0)
+            rest = below.other_after(k, k.up[behind], spot, np.ones(len(spot), bool), h.root(below.c[spot].astype(np.float64))) if len(spot) else np.zeros(0)
+            gain = times * (np.log(times / k.counts[s]) - math.log(10) * np.concatenate((lower, rest)))
+            some, at = np.unique(s, return_inverse=True)
+            kinds, total = np.bincount(at, minlength=len(some)), np.bincount(at, weights=gain, minlength=len(some))
             out = []
             for block in np.unique(some >> 12).tolist():
-                x = some[(some >> 12) == block]
-                out.append((block, STATS, 0, planes(x.astype(np.uint32)), planes(kinds[x].astype(np.uint32)), planes(total[x]), None, None, None))
+                x = (some >> 12) == block
+                out.append((block, STATS, 0, planes(some[x].astype(np.uint32)), planes(kinds[x].astype(np.uint32)), planes(total[x]), None, None, None))
             often = n >= least
             if often.any():
                 out.append((part, FREQUENT, 0, planes(pair[often]), planes(n[often].astype(np.uint64)), None, None, None, None))
             twice, again = n > 1, after & (m > 1)
-            key = (place[again].astype(np.uint64) << np.uint64(BITS)) | state[again].astype(np.uint64)
-            out.append((part, MODEL, 0, planes(pair[twice]), planes(n[twice].astype(np.uint64)), planes(other), planes(c.astype(np.uint64)), planes(key), planes(m[again].astype(np.uint64))))
+            key = _key(place[again], state[again])
+            out.append((part, MODEL, words, planes(pair[twice]), planes(n[twice].astype(np.uint64)), planes(other), planes(c.astype(np.uint64)), planes(key), planes(m[again].astype(np.uint64))))
             yield _rows(out)
 
-    return pairs.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(run, _DDL)
+    if model is not None:
+        pairs = pairs.unionByName(model.filter(F.col("kind") == MODEL))
+    return pairs.repartitionById(parts, "part").sortWithinPartitions("part", "kind", "batch").mapInArrow(run, _DDL)
 
 
-def states(model: DataFrame, head: Head, gain: float) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct followers of each frequent word, and which of them are states.  The driver gets a row for a block of 4,096."""
+def states(model: DataFrame, contexts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct followers of each context, and its divergence.  The driver gets a row for a block of 4,096."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[int, np.ndarray] = {}
@@ -270,52 +442,25 @@ def states(model: DataFrame, head: Head, gain: float) -> tuple[np.ndarray, np.nd
                 sums[1, at] += values(r["b2"], np.float64)
         yield _rows([(block, STATS, 0, sums[0].tobytes(), sums[1].tobytes(), None, None, None, None) for block, sums in out.items()])
 
-    kinds, total = np.zeros(len(head.words)), np.zeros(len(head.words))
+    kinds, total = np.zeros(contexts), np.zeros(contexts)
     for r in model.filter(F.col("kind") == STATS).repartition("part").mapInArrow(run, _DDL).collect():
         low = r["part"] << 12
         k = len(kinds[low : low + 4096])
         kinds[low : low + k] = np.frombuffer(r["b0"])[:k]
         total[low : low + k] = np.frombuffer(r["b1"])[:k]
-    return kinds, (total >= gain) & (kinds > 0)
-
-
-@dataclass
-class Known:
-    """What all tasks know of states and frequent pairs."""
-
-    kinds: np.ndarray
-    kept: np.ndarray
-    weight: np.ndarray  # log10 of what a state leaves to the root
-    pairs: np.ndarray  # sorted
-    worth: np.ndarray
+    return kinds, total
 
 
-def _pair_worth(n: np.ndarray, kinds: np.ndarray, root: np.ndarray) -> np.ndarray:
-    return np.log10(1 + (n - 1) / (kinds * 10.0**root))
-
-
-def known_to_all(model: DataFrame, head: Head, gain: float) -> Known:
-    kinds, kept = states(model, head, gain)
+def take_up(known: Known, model: DataFrame, head: Head, gain: float) -> None:
+    """Let known grow by what the model's parts have found out about the longest contexts."""
+    kinds, total = states(model, len(known.counts))
     found = model.filter(F.col("kind") == FREQUENT).select("b0", "b1").collect()  # 1/share pairs at most
     pairs = np.concatenate([values(r["b0"], np.uint64) for r in found]) if found else np.zeros(0, np.uint64)
-    n = np.concatenate([values(r["b1"], np.uint64) for r in found]).astype(np.float64) if found else np.zeros(0)
-    order = np.argsort(pairs)
-    pairs, n = pairs[order], n[order]
-    first, second = (pairs >> np.uint64(BITS)).astype(np.int64), (pairs & np.uint64(NONE)).astype(np.int64)
-    worth = np.where(kept[first], _pair_worth(n, np.maximum(kinds[first], 1), head.root(head.counts)[second]), 0.0) if len(n) else np.zeros(0)
-    weight = np.where(kept, np.log10(np.maximum(kinds, 1) / np.maximum(head.counts, 1)), 0.0)
-    return Known(kinds, kept, weight, pairs, worth)
+    n = np.concatenate([values(r["b1"], np.uint64) for r in found]) if found else np.zeros(0, np.uint64)
+    known.grow(head, kinds, total, gain, pairs, n)
 
 
-def _find(names: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each x in the sorted names, and whether it is there."""
-    if not len(names):
-        return np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=bool)
-    at = np.minimum(np.searchsorted(names, x), len(names) - 1)
-    return at, names[at] == x
-
-
-def ask(docs: DataFrame, head, tree, known, parts: int, id_col: str, text_col: str, tokens_held: int) -> DataFrame:
+def ask(docs: DataFrame, head, tree, known, parts: int, id_col: str, text_col: str, tokens_held: int, words: int = 1) -> DataFrame:
     """A LOCAL row for each batch of documents, with what its task can tell, and ASK rows for the parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,23 +471,27 @@ def ask(docs: DataFrame, head, tree, known, parts: int, id_col: str, text_col: s
         for held in _gathered(batches, tokens_held):
             doc, number, before, hashes, spelled, sizes = reader.read([t for b in held for t in texts(b.column("text"))])
             near = number >= 0
-            d, w = doc[near], number[near]
-            n_known = np.bincount(d, minlength=len(sizes))
-            base = np.bincount(d, weights=base_of[w], minlength=len(sizes))
-            score = np.bincount(d, weights=of_word[w], minlength=len(sizes))
-            follows = before != NONE
-            score += np.bincount(doc[follows], weights=k.weight[before[follows]], minlength=len(sizes))
-            follows[follows] = k.kept[before[follows]]
-            both = near & follows
-            pair, d = (before[both] << BITS | number[both]).astype(np.uint64), doc[both]
+            n_known = np.bincount(doc[near], minlength=len(sizes))
+            base = np.bincount(doc[near], weights=base_of[number[near]], minlength=len(sizes))
+            contexts = k.contexts(number, before, words)
+            state = before.copy()
+            for longer in contexts[1:]:
+                np.copyto(state, longer, where=longer != NONE)
+            state = k.top(state)
+            alone = near & (state == NONE)
+            score = np.bincount(doc[alone], weights=of_word[number[alone]], minlength=len(sizes))
+            both = np.flatnonzero(near & (state != NONE))
+            pair = _key(state[both], number[both])
             at, hit = _find(k.pairs, pair)
-            score += np.bincount(d[hit], weights=k.worth[at[hit]], minlength=len(sizes))
-            order = np.argsort(pair[~hit], kind="stable")
-            pair, d = pair[~hit][order], d[~hit][order]
-            word, state, of, letters = hashes[~near], np.where(follows, before, NONE)[~near], doc[~near], spelled[~near]
+            score += np.bincount(doc[both[hit]], weights=k.worth[at[hit]], minlength=len(sizes))
+            pair, both = pair[~hit], both[~hit]
+            order = np.argsort(pair, kind="stable")
+            pair, both = pair[order], both[order]
+            d, to = doc[both], k.route([c[both] for c in contexts], number[both])
+            word, state, of, letters = hashes[~near], state[~near], doc[~near], spelled[~near]
             order = np.argsort(word, kind="stable")
             word, state, of, letters = word[order], state[order], of[order], letters[order]
-            o, at = _runs(part_of(pair, parts), parts)
+            o, at = _runs(part_of(to, parts), parts)
             p, on = _runs(part_of(word, parts), parts)
             pair, d, word, state, of, letters = pair[o], d[o].astype(np.uint32), word[p], state[p].astype(np.uint32), of[p].astype(np.uint32), letters[p]
             out = []
@@ -364,24 +513,19 @@ def answer(asked: DataFrame, model: DataFrame, head, known, parts: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, k = head.value, known.value
-        of_word, kinds = h.root(h.counts), np.maximum(k.kinds, 1)
-        part, pair, n, other, c, key, m = None, *[np.zeros(0, np.uint64)] * 6
+        of_word = h.root(h.counts)
+        part, rows, here = None, [], _Part([])
 
         def sums(r: dict) -> tuple:
             p, d = values(r["b0"], np.uint64), values(r["b1"], np.uint32)
-            at, hit = _find(pair, p)
-            first, second = (p[hit] >> np.uint64(BITS)).astype(np.int64), (p[hit] & np.uint64(NONE)).astype(np.int64)
-            worth = _pair_worth(n[at[hit]].astype(np.float64), kinds[first], of_word[second])
+            first, second = (p >> np.uint64(BITS)).astype(np.int64), (p & np.uint64(NONE)).astype(np.int64)
+            worth = here.after(k, first, second, of_word[second]) if len(p) else np.zeros(0)
             word, state, of = values(r["b2"], np.uint64), values(r["b3"], np.uint32).astype(np.int64), values(r["b4"], np.uint32)
-            at, there = _find(other, word)
-            times = np.where(there, c[at] if len(c) else 0, 0).astype(np.float64)
-            root = h.root(times, values(r["b5"], np.float32).astype(np.float64))
-            score = root.copy()
-            spot, met = _find(key, (at.astype(np.uint64) << np.uint64(BITS)) | state.astype(np.uint64))
-            met &= there & (state != NONE)
-            score[met] += _pair_worth(m[spot[met]].astype(np.float64), kinds[state[met]], root[met])
+            at, there = _find(here.other, word)
+            times = np.where(there, here.c[at] if len(here.c) else 0, 0).astype(np.float64)
+            score = here.other_after(k, state, at, there, h.root(times, values(r["b5"], np.float32).astype(np.float64)))
             size = int(max(d.max(initial=0), of.max(initial=0))) + 1
-            total = np.bincount(d[hit], weights=worth, minlength=size) + np.bincount(of, weights=score, minlength=size)
+            total = np.bincount(d, weights=worth, minlength=size) + np.bincount(of, weights=score, minlength=size)
             known_ = np.bincount(of[there], minlength=size)
             base = np.bincount(of, weights=h.base(times), minlength=size)
             idx = np.flatnonzero((total != 0) | (base != 0) | (known_ != 0))
@@ -390,15 +534,15 @@ def answer(asked: DataFrame, model: DataFrame, head, known, parts: int) -> DataF
         for batch in batches:
             out = []
             for r in batch.to_pylist():
+                if r["part"] != part:
+                    part, rows, here = r["part"], [], _Part([])
                 if r["kind"] == MODEL:
-                    part = r["part"]
-                    pair, n, other, c, key, m = (values(r[b], np.uint64) for b in _BLOBS)
+                    rows.append(r)
                 elif r["kind"] == LOCAL:
                     out.append(tuple(r.values()))
                 else:
-                    if part != r["part"]:  # nothing was learned there
-                        part = r["part"]
-                        pair = n = other = c = key = m = np.zeros(0, np.uint64)
+                    if rows:
+                        rows, here = [], _Part(rows)
                     idx, total, known_, base = sums(r)
                     if len(idx):
                         out.append((r["part"], ASK, r["batch"], planes(idx), planes(total), planes(known_), planes(base), None, None))
@@ -406,7 +550,7 @@ def answer(asked: DataFrame, model: DataFrame, head, known, parts: int) -> DataF
                 yield _rows(out)
 
     rows = asked.unionByName(model.filter(F.col("kind") == MODEL))
-    return rows.repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, _DDL)
+    return rows.repartitionById(parts, "part").sortWithinPartitions("part", "kind", "batch").mapInArrow(run, _DDL)
 
 
 def total(answers: DataFrame, train_tokens: int) -> DataFrame:
@@ -441,14 +585,14 @@ def total(answers: DataFrame, train_tokens: int) -> DataFrame:
     return answers.repartition("batch").sortWithinPartitions("batch", F.desc("kind"), "part").mapInArrow(run, ddl)
 
 
-def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 2e-6, gain: float = 12.0, depth: int = 5, least_share: float = 1e-6, parts: int | None = None, tokens_held: int = 1_000_000) -> DataFrame:
+def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 2e-6, gain: float = 12.0, depth: int = 5, least_share: float = 1e-6, parts: int | None = None, tokens_held: int = 700_000, words: int = 1) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for docs, learned from train.
 
-    share: of the training tokens, what makes a word or a pair frequent.  least_share: of all
+    words: of a context, at most.  share: of the training tokens, what makes a word or a pair frequent.  least_share: of all
     bytes of distinct words, what a context and symbol of the byte tree need.  parts: by default
     the number of shuffle partitions.
     """
-    if 1 / share >= NONE:
+    if (words + 1) / share >= NONE:
         raise ValueError("share is too small")
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -459,13 +603,20 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
     tree = learn(counts.select("word", F.lit(1).cast("long").alias("n")), depth, gain, least_share=least_share)
     context = spark.sparkContext
     shared = context.broadcast(head)
-    model = materialise(model_parts(count_pairs(train, shared, parts, text_col, tokens_held), shared, parts, share), "pairs")
-    known = context.broadcast(known_to_all(model, head, gain))
-    asked = ask(docs, shared, context.broadcast(tree), known, parts, id_col, text_col, tokens_held)
-    return total(answer(asked, model, shared, known, parts), head.total)
+    known, told, model = Known(head), None, None
+    for length in range(1, words + 1):
+        pairs = count_pairs(train, shared, parts, text_col, tokens_held, told, length)
+        found = materialise(model_parts(pairs, shared, parts, share, told, model, length), "pairs")
+        take_up(known, found, head, gain)
+        told = context.broadcast(known)
+        model = found if model is None else model.unionByName(found)
+        if known.first == len(known.counts):  # no longer context is frequent
+            break
+    asked = ask(docs, shared, context.broadcast(tree), told, parts, id_col, text_col, tokens_held, length)
+    return total(answer(asked, model, shared, told, parts), head.total)
 
 
 def op9_suffix_tree_lm(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    out = score(docs, docs.filter(~bucket_of_id(F.col("doc_id")).eqNullSafe(1)))
+    out = score(docs, docs.filter(~bucket_of_id(F.col("doc_id")).eqNullSafe(1)), words=3)
     return out.select("doc_id", bucket_of_id(F.col("doc_id")).eqNullSafe(1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
