@@ -249,15 +249,30 @@ def op4_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def near_pairs(rows: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
+    """Pairs (a, b) of nodes of rows(node, text), which connect just what fingerprints within the radius connect."""
+    prints = materialise(fingerprints(rows, "node", "text", shingle).select(F.col("doc_id").alias("node"), "fp").distinct(), "node-fingerprints")
+    heads = prints.groupBy("fp").agg(F.min("node").alias("head"))
+    equal = prints.join(heads, "fp").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    edges = link_table(heads.select("fp"), radius).distinct()
+    near = edges.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+    return equal.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the near copies (five-word shingles alike to 0.8): of each component the one with the smallest id stays.
 
+    Fingerprints of the five-word shingles and their Gray-ordered index give the pairs that are looked at
+    first.  Each is verified on the whole sets, as fingerprints within the radius may belong to texts that
+    are less alike; and texts alike to 0.8 may have fingerprints further apart than any exact index
+    reaches, so similar.py then finds, without loss, the links between texts that are not connected yet.
+
     A row without an id stays only where no row of its component has one; of rows with the same id
     and text one stays.
     """
     from playtide.llm.similar import node_of, similar_documents
 
-    found = similar_documents(docs, id_col, text_col)
+    found = similar_documents(docs, id_col, text_col, pairs=near_pairs)
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("x"))
     row = unused(docs, "__row")
     kept = first.select(row_key(F.col("x.doc_id"), F.col("x.node")).alias(row))

@@ -23,7 +23,7 @@ fewer words than a shingle use their whole word sequence; equal texts are one no
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -301,10 +301,11 @@ def _alike(rows: DataFrame, most: int = 4_000) -> DataFrame:
     return _met(rows, most).mapInArrow(run, "a long, b long").distinct()
 
 
-def links(docs: DataFrame, folder: str, shingle: int = 5) -> DataFrame:
+def links(docs: DataFrame, folder: str, shingle: int = 5, pairs: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """Edges (a, b) between nodes of docs(text, node) that connect just what pairs alike connect.  Only they stay when `folder` is removed.
 
-    Every group's members meet one of them.  Groups of one component are done then; in the others,
+    `pairs` gives pairs (a, b) of nodes that are looked at first, besides: what they connect is known when
+    groups are gone through.  Every group's members meet one of them.  Groups of one component are done then; in the others,
     members of different components that can be alike make clusters, and each cluster is
     settled inside a task.
     """
@@ -317,7 +318,10 @@ def links(docs: DataFrame, folder: str, shingle: int = 5) -> DataFrame:
     rows = rows.select("*", F.count("*").over(group).alias("members"), first.dropFields("h").alias("lead")).filter("members > 1")
     rows = materialise(rows, f"{folder}/meetings")
     met = rows.alias("x").filter((F.col("node") != F.col("lead.node")) & _near("x", "lead"))
-    met = materialise(_bounded(met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct(), sets), f"{folder}/pairs")
+    met = met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
+    if pairs is not None:
+        met = met.unionByName(pairs(docs, shingle).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    met = materialise(_bounded(met.distinct(), sets), f"{folder}/pairs")
     found = materialise(_verified(met, _of_nodes(docs, met.select(F.explode(F.array("a", "b")).alias("node")), shingle, folder)), "links")
     part = materialise(connected_components(found).withColumnRenamed("component", "part"), f"{folder}/parts")
     # two members have met already; in a group of one component no link is missing
@@ -329,12 +333,12 @@ def links(docs: DataFrame, folder: str, shingle: int = 5) -> DataFrame:
     return found.unionByName(materialise(_alike(members), "links"))
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, pairs: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """(doc_id, node, component, component_id): component_id is the smallest doc_id reachable over links."""
     spark, folder = docs.sparkSession, f"similar-{uuid.uuid4().hex}"
     rows = nodes(docs, id_col, text_col)
     prints = materialise(rows.select("doc_id", "node"), "nodes")
-    classes = connected_components(links(rows, folder, shingle))
+    classes = connected_components(links(rows, folder, shingle, pairs))
     # nothing reads the meetings and sets from here on
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{folder}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
