@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -72,13 +74,28 @@ def with_keys(cells: DataFrame) -> DataFrame:
     return cells.withColumn("__k", _keys("artist", "album", "track")).select(*cells.columns, "__k.*")
 
 
-def _text_udf(fn, kind: str = "string"):
-    """An Arrow UDF that computes each distinct string of a batch once."""
+def _slices(values: pa.Array, limit: int = 1 << 20) -> Iterator[pa.Array]:
+    """Parts of about `limit` bytes of text, one value at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(values):
+        stop = max(start + 1, int(np.searchsorted(ends, limit + (ends[start - 1] if start else 0), side="right")))
+        yield values.slice(start, stop - start)
+        start = stop
 
-    @F.pandas_udf(_TYPES[kind])
-    def run(values: pd.Series) -> pd.Series:
-        known = {v: fn(v) for v in values.unique()}
-        return values.map(lambda v: known[v]) if len(values) else pd.Series([], dtype=object)
+
+def _text_udf(fn, kind: str = "string"):
+    """An Arrow UDF that computes each distinct string of a batch once; of long texts a worker holds a few at a time."""
+    out = pa.list_(pa.string()) if kind == "array<string>" else pa.string()
+
+    @F.arrow_udf(_TYPES[kind])
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in batches:
+            if not len(values):
+                yield pa.array([], out)
+            for part in _slices(values):
+                coded = part.dictionary_encode(null_encoding="encode")
+                yield pa.array([fn(v) for v in coded.dictionary.to_pylist()], out).take(coded.indices)
 
     return run
 
