@@ -284,13 +284,18 @@ def _pages(spark, d):
     """Event plays as the service would page them, 200 a page, with a page more to come."""
     from pyspark.sql import Window
 
-    rows = source.event_plays(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("user").orderBy("seq")) - 1).withColumn("page", F.floor(F.col("n") / 200) + 1)
+    # places are counted within blocks of seq, and blocks before it are added: no user's log is one window
+    plays = source.event_plays(spark, d).withColumn("block", F.floor(F.col("seq") / 10_000))
+    blocks = plays.groupBy("user", "block").agg(F.count("*").alias("held"))
+    before = F.sum("held").over(Window.partitionBy("user").orderBy("block")) - F.col("held")
+    rows = plays.withColumn("at", F.row_number().over(Window.partitionBy("user", "block").orderBy("seq"))).join(blocks.select("user", "block", before.alias("before")), ["user", "block"])
+    rows = rows.withColumn("n", F.col("before") + F.col("at") - 1).withColumn("page", F.floor(F.col("n") / 200) + 1)
     track = F.struct(
         F.col("track").alias("name"), F.lit("").alias("mbid"), F.struct(F.concat(F.lit(" "), F.col("artist")).alias("#text")).alias("artist"), F.struct(F.lit("").alias("#text")).alias("album"),
         F.struct(F.col("uts").cast("string").alias("uts")).alias("date"),
     )
     listed = rows.groupBy("user", "page").agg(F.array_sort(F.collect_list(F.struct("n", track.alias("t")))).alias("ts"))
-    total = rows.groupBy("user").agg(F.max("page").alias("pages"), F.count("*").alias("total"))
+    total = blocks.groupBy("user").agg(F.ceil(F.sum("held") / 200).alias("pages"), F.sum("held").alias("total"))
     attr = F.struct(F.col("total").cast("string").alias("total"), (F.col("pages") + 1).cast("string").alias("totalPages"))
     body = F.to_json(F.struct(F.struct(attr.alias("@attr"), F.transform("ts", lambda x: x["t"]).alias("track")).alias("recenttracks")))
     return listed.join(total, "user").select("user", "page", F.lit(1).cast("long").alias("fetched_at"), body.alias("body"))

@@ -35,6 +35,7 @@ class Landed:
         from pyarrow.fs import FileSystem
 
         self.files, self.root = FileSystem.from_uri(options["path"])
+        self.listed: dict[str, dict[int, str]] = {}  # pages of users whose folders have other than the usual names
 
     def _names(self, folder: str, key: str) -> list[tuple[str, str]]:
         """(value, folder) of the folders key=value."""
@@ -59,9 +60,16 @@ class Landed:
     def fetch(self, user: str, page: int) -> tuple[int, str]:
         from pyarrow.fs import FileSelector
 
-        folder = self._pages(user).get(page)
+        # a page's own folder is asked for: listing all of a user's for each page would make a walk quadratic
+        plain = user.replace("_", "").replace("-", "").isalnum()
+        files = self.files.get_file_info(FileSelector(f"{self.root}/user={user}/page={page}", allow_not_found=True)) if plain else []
+        if not files:
+            if page not in self.listed.get(user, {}):
+                self.listed[user] = self._pages(user)
+            folder = self.listed[user].get(page)
+            files = self.files.get_file_info(FileSelector(folder)) if folder else []
         copies = []
-        for f in self.files.get_file_info(FileSelector(folder)) if folder else ():
+        for f in files:
             if f.is_file and not f.base_name.startswith(("_", ".")):
                 copies += [json.loads(line) for line in self.files.open_input_stream(f.path).read().splitlines() if line]
         if not copies:
