@@ -152,6 +152,16 @@ def within_edits(a: Column, b: Column, limit: Column | int) -> Column:
     return F.levenshtein(a, b) <= limit
 
 
+def may_share_key(a: Column, b: Column) -> Column:
+    """False only for names with different norm() and norm_title(), by built-ins.
+
+    Those of ASCII names keep letters and their order but for case, and a gap where there is one: so does soundex(),
+    which wants a letter at the start.
+    """
+    plain = lambda c: (F.octet_length(c) == F.char_length(c)) & (F.ascii(c).between(65, 90) | F.ascii(c).between(97, 122))
+    return (F.soundex(a) == F.soundex(b)) | ~plain(a) | ~plain(b)
+
+
 def ratio_bound(a: Column, b: Column) -> Column:
     """At least the ratio of similar(): twice the letters that both names hold, however placed, over all.
 

@@ -10,22 +10,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playtide.functions import keys
-
+from playtide.sources.scratch import discard, kept
 
 IDS = ("artist_mbid", "album_mbid", "track_mbid")
 
 
+def roll_up(plays: DataFrame) -> DataFrame:
+    """cells_of() without the keys."""
+    clean = [F.coalesce(c, F.lit("")).alias(c) for c in ("artist", "album", "track", *IDS)]
+    return plays.select("user", "seq", "uts", *clean).groupBy("user", "artist", "album", "track", *IDS).agg(
+        F.count("*").alias("plays"), F.min("uts").alias("first_uts"), F.max("uts").alias("last_uts"), F.min("seq").alias("seq")
+    )
+
+
 def cells_of(plays: DataFrame) -> DataFrame:
     """(user, artist, album, track, MBIDs, plays, first_uts, last_uts, seq, keys): plays by name and identifiers.
 
     A triple of names has a row for each combination of identifiers it was played with, few
     as they are; only numbers are summed, so the aggregation stays in code-generated hash maps.
     """
-    clean = [F.coalesce(c, F.lit("")).alias(c) for c in ("artist", "album", "track", *IDS)]
-    rolled = plays.select("user", "seq", "uts", *clean).groupBy("user", "artist", "album", "track", *IDS).agg(
-        F.count("*").alias("plays"), F.min("uts").alias("first_uts"), F.max("uts").alias("last_uts"), F.min("seq").alias("seq")
-    )
-    return keys.with_keys(rolled)
+    return keys.with_keys(roll_up(plays))
 
 
 def partition_eras(cells: DataFrame, official: DataFrame | None = None) -> DataFrame:
@@ -35,7 +39,8 @@ def partition_eras(cells: DataFrame, official: DataFrame | None = None) -> DataF
     """
     # found with built-ins and the keys of the few artists concerned: the cells' own keys are computed once
     named = cells.filter(keys.explicit_era(F.col("album"))).select("user", "artist").distinct()
-    taggers = named.select("user", keys.norm("artist").alias("artist_key")).distinct().withColumn("tagger", F.lit(True))
+    # a count keeps the distinct below it, and a key that is never null has no filter on it pushed to every cell
+    taggers = named.groupBy("user", F.coalesce(keys.norm("artist"), F.lit("")).alias("artist_key")).agg((F.count("*") > 0).alias("tagger"))
     out = cells.join(taggers, ["user", "artist_key"], "left")
     known: Column = F.lit(False)
     if official is not None:
@@ -45,6 +50,17 @@ def partition_eras(cells: DataFrame, official: DataFrame | None = None) -> DataF
     return out.withColumn("is_era", F.col("era_explicit") | weaker).drop("tagger", "official")
 
 
+def kept_cells(plays: DataFrame, official: DataFrame | None = None) -> DataFrame:
+    """partition_eras() of the log's cells, as a table of the run.
+
+    The roll-up is written ahead of it: partition_eras() reads the cells twice, and the log is not to be read twice.
+    """
+    rolled = kept(roll_up(plays), "rolled")
+    cells = kept(partition_eras(keys.with_keys(rolled), official), "cells")
+    discard(plays.sparkSession, rolled)
+    return cells
+
+
 def eras(cells: DataFrame) -> DataFrame:
     return cells.filter("is_era")
 

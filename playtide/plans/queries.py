@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from playtide.functions import keys
 from playtide.operators import albums, artists, catalogue, chart, resolve, timing, unreleased
-from playtide.operators.cells import cells_of, partition_eras, weak_era_candidates
+from playtide.operators.cells import kept_cells, weak_era_candidates
 from playtide.operators.names import edit_pairs
 from playtide.plans import report
 from playtide.sources import cache, releases
@@ -18,7 +18,7 @@ NOW = 915_148_800
 
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
-    return kept(partition_eras(cells_of(source.lineitem_plays(spark, d))), "cells")
+    return kept_cells(source.lineitem_plays(spark, d))
 
 
 def _rest(spark: SparkSession, d: str) -> DataFrame:

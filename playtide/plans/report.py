@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from playtide.operators import albums, artists, chart, timing, unreleased
-from playtide.operators.cells import cells_of, partition_eras
+from playtide.operators.cells import cells_of, kept_cells, partition_eras
 from playtide.sources.scratch import discard, kept
 from playtide.sources.versions import Versions
 
@@ -95,12 +95,12 @@ class Report:
     impact: DataFrame
     summary_by_detector: DataFrame
     totals: DataFrame
-    kept: bool = False
+    tables: tuple[DataFrame, ...] = ()
 
     def release(self) -> None:
-        """Delete the run's own table; the report can no longer be read, but for what has been written."""
-        if self.kept:
-            discard(self.cells.sparkSession, self.cells)
+        """Delete the run's own tables; the report can no longer be read, but for what has been written."""
+        for table in self.tables:
+            discard(table.sparkSession, table)
 
     def write(self, path: str) -> None:
         """All parts under path, as its new version.  What sums up the findings reads them back, so they are found once."""
@@ -112,15 +112,18 @@ def analyse(plays: DataFrame, now: int, official: DataFrame | None = None, top_a
     """The report of every user in a play log.  `now` is given, so that a run can be repeated.
 
     The roll-up is written once, as a table of the run (see sources/scratch.py); every detector then
-    reads the columns of it that it needs, and only those of time read plays again.
+    reads the columns of it that it needs.  Those of time read the plays' counts by hour and their
+    repeats, tables of the run too; but for these three, only dates in the future read plays again.
     """
-    cells = partition_eras(cells_of(plays), official)
     if keep:
-        cells = kept(cells, "cells")
+        cells, hours, repeats = kept_cells(plays, official), kept(timing.hourly(plays), "hours"), kept(timing.adjacent_repeats(plays), "repeats")
+        tables = (cells, hours, repeats)
+    else:
+        cells, hours, repeats, tables = partition_eras(cells_of(plays), official), None, None, ()
     era, rest = cells.filter("is_era"), cells.filter("NOT is_era")
     splits = albums.album_splits(rest)
-    blank = plays.filter("coalesce(album, '') = ''")
-    found = [unreleased.format_variants(era), unreleased.tracks_in_two_eras(era), unreleased.single_buckets(cells), splits, artists.feature_credits(rest), artists.artist_variants(rest), albums.missing_albums(rest, blank), timing.duplicates(plays), albums.various_artists(rest), timing.impossible(plays, now)]
+    blanks = albums.monthly(plays.filter("coalesce(album, '') = ''")) if hours is None else albums.months_of(hours, "blanks", "blank_seq")
+    found = [unreleased.format_variants(era), unreleased.tracks_in_two_eras(era), unreleased.single_buckets(cells), splits, artists.feature_credits(rest), artists.artist_variants(rest), albums.missing_albums(rest, None, blanks), timing.duplicates(plays, found=repeats, hours=hours), albums.various_artists(rest), timing.impossible(plays, now, hours=hours)]
     if top_albums is not None:
         found.append(albums.album_artist_splits(top_albums))
     issues = found[0]
@@ -128,5 +131,5 @@ def analyse(plays: DataFrame, now: int, official: DataFrame | None = None, top_a
         issues = issues.unionByName(more)
     totals = score_totals(cells)
     return Report(
-        cells, splits, rank_issues(issues), profile(plays), chart.hygiene_score(issues, totals), unreleased.overview(cells), chart.chart_impact(rest, splits), summary_by_detector(issues), totals, keep
+        cells, splits, rank_issues(issues), profile(plays), chart.hygiene_score(issues, totals), unreleased.overview(cells), chart.chart_impact(rest, splits), summary_by_detector(issues), totals, tables
     )
