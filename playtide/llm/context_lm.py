@@ -35,17 +35,18 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playtide.llm.common import bucket_of_id, chunked, materialise, read_table, record_batch, take, texts
-from playtide.llm.suffix_lm import SuffixTree, count_words, learn, tokens
+from playtide.llm.common import bucket_of_id, chunked, materialise, read_table, record_batch
+from playtide.llm.suffix_lm import END, SuffixTree, count_words, learn, split, tokens  # noqa: F401
 
 #: Bits of a state's or frequent word's number; the states of all lengths must stay below.
 BITS = 21
@@ -95,16 +96,6 @@ class Head:
     total: int
     kinds: int
 
-    def __post_init__(self):
-        self.number = {w: i for i, w in enumerate(self.words)}
-
-    def __getstate__(self):
-        return self.words, self.counts, self.total, self.kinds
-
-    def __setstate__(self, state):
-        self.words, self.counts, self.total, self.kinds = state
-        self.__post_init__()
-
     def root(self, c: np.ndarray, spelled: np.ndarray | float = 0.0) -> np.ndarray:
         """log10 of the root's probability of words with these counts; new words are spelled."""
         if not self.total:
@@ -124,47 +115,47 @@ def _before(number: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return before
 
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+def _bytes(words: pa.Array) -> list[bytes]:
+    """to_pylist() of words, without a scalar for each."""
+    if not len(words):
+        return []
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].tolist()
+    data = words.buffers()[2].to_pybytes()
+    return [data[i:j] for i, j in pairwise(ends)]
 
 
 class _Reader:
     """Tokens of texts as numbers: frequent words by theirs, others by hash; new ones are spelled if there is a tree."""
 
-    def __init__(self, head: Head, tree: SuffixTree | None = None, held: int = 400_000):
-        self.head, self.tree, self.held = head, tree, held
-        self._forget()
-
-    def _forget(self) -> None:
-        self.words = _Numbers()
-        self.id, self.hash, self.spelled = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.float32)
-
-    def read(self, data: list[bytes]) -> tuple[np.ndarray, ...]:
-        """By token: document, number or -1, number of the word before or NONE, hash, log10 of the spelling; and tokens by document."""
-        if len(self.words) > self.held:
-            self._forget()
-        at = self.words.__getitem__
-        flat: list[int] = []
-        sizes = np.zeros(len(data), dtype=np.int64)
-        for i, t in enumerate(data):
-            w = tokens(t)
-            sizes[i] = len(w)
-            flat.extend(map(at, w))
-        new = list(self.words)[len(self.id) :]
-        if new:
-            found = np.fromiter((self.head.number.get(w, -1) for w in new), dtype=np.int64, count=len(new))
-            spelled = np.zeros(len(new), np.float32)
-            rare = np.flatnonzero(found < 0)
-            if self.tree is not None:
-                spelled[rare] = self.tree.log10([new[i] for i in rare.tolist()])
-            self.id = np.concatenate((self.id, found))
-            self.hash = np.concatenate((self.hash, np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in new), dtype=np.uint64, count=len(new))))
-            self.spelled = np.concatenate((self.spelled, spelled))
-        word = np.array(flat, dtype=np.int64)
-        number = self.id[word]
-        return np.repeat(np.arange(len(data)), sizes), number, _before(number, sizes), self.hash[word], self.spelled[word], sizes
+    def __init__(self, head: Head, tree: SuffixTree | None = None):
+        self.head, self.tree = pa.array(head.words, pa.binary()), tree
+        self.end = self.head.index(END).as_py()  # -1 if not there
+
+    def read(self, columns: list[pa.Array]) -> tuple[np.ndarray, ...]:
+        """By token: text, number or -1, number of the word before or NONE; and tokens by text."""
+        words, sizes = zip(*map(split, columns), strict=True)
+        self.words, sizes = pa.concat_arrays(words), np.concatenate(sizes) + 1
+        self.text, self.ends = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - 1
+        number = np.full(len(self.text), self.end, dtype=np.int64)
+        inner = np.ones(len(number), dtype=bool)
+        inner[self.ends] = False
+        number[inner] = pc.fill_null(pc.index_in(self.words, value_set=self.head), -1).to_numpy()
+        return self.text, number, _before(number, sizes), sizes
+
+    def others(self, at: np.ndarray, learned: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the tokens there, and log10 of their spelling; a text learned from has no new words, so none of its are spelled."""
+        text = self.text[at]
+        inner = at != self.ends[text]
+        coded = self.words.take(pa.array((at - text)[inner])).dictionary_encode()
+        names = [*_bytes(coded.dictionary), END]
+        which = np.full(len(at), len(names) - 1)
+        which[inner] = coded.indices.to_numpy()
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, names, repeat(42)), np.uint64, len(names))
+        spelled = np.zeros(len(names), np.float32)
+        if self.tree is not None:
+            new = np.unique(which if learned is None else which[~learned[text]])
+            spelled[new] = self.tree.log10([names[i] for i in new.tolist()])
+        return hashes[which], spelled[which]
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], tokens_held: int) -> Iterator[list[pa.RecordBatch]]:
@@ -187,7 +178,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def _runs(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Order by part, and where each part's run begins."""
-    order = np.argsort(part.astype(np.uint32), kind="stable")
+    order = np.argsort(part.astype(np.uint16 if parts < 1 << 16 else np.uint32), kind="stable")  # 16 bits are sorted by digits
     return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
@@ -228,23 +219,37 @@ class Known:
         out[there] = np.where(self.kept[c], c, self.up[c])
         return out
 
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """_find() among the pairs; many keys are looked up by hash."""
+        if len(x) < len(self.pairs):
+            return _find(self.pairs, x)
+        at = pc.index_in(pa.array(x), value_set=pa.array(self.pairs))
+        return pc.fill_null(at, 0).to_numpy(), at.is_valid().to_numpy(zero_copy_only=False)
+
     def contexts(self, number: np.ndarray, before: np.ndarray, words: int) -> list[np.ndarray]:
         """By length, the context of each token; NONE where it is not frequent or the text is too short."""
         out = [before]
         for _ in range(words - 1):
             last, longer = out[-1], np.full(len(before), NONE, np.int64)
             at = np.flatnonzero((before[1:] != NONE) & (last[:-1] != NONE))
-            place, hit = _find(self.pairs, _key(last[at], number[at]))
+            place, hit = self.find(_key(last[at], number[at]))
             longer[at[hit] + 1] = self.words + place[hit]
             out.append(longer)
         return out
 
+    def suffixes(self, context: np.ndarray, words: int) -> list[np.ndarray]:
+        """By length, the suffixes of contexts of so many words, themselves included."""
+        out = [context]
+        for _ in range(words - 1):
+            out.insert(0, self.parent[out[0]])
+        return out
+
     def route(self, contexts: list[np.ndarray], word: np.ndarray) -> np.ndarray:
         """The shortest pair of one of the contexts and the word that is not frequent, or else the longest."""
         out = _key(contexts[0], word)
         open_ = np.arange(len(word))
         for longer in contexts[1:]:
-            open_ = open_[(longer[open_] != NONE) & _find(self.pairs, out[open_])[1]]
+            open_ = open_[(longer[open_] != NONE) & self.find(out[open_])[1]]
             out[open_] = _key(longer[open_], word[open_])
         return out
 
@@ -302,26 +307,14 @@ def count_pairs(train: DataFrame, head, parts: int, text_col: str, tokens_held:
         k = Known(h) if known is None else known.value
         reader = _Reader(h)
         for held in _gathered(batches, tokens_held):
-            data = [t for b in held for t in texts(b.column("text"))]
-            flat: list[bytes] = []
-            if words == 1:
-                _, number, before, hashes, _, _ = reader.read(data)
-            else:  # few words stand after a longer context, so only theirs are hashed
-                each = [tokens(t) for t in data]
-                flat = [w for t in each for w in t]
-                number = np.fromiter(map(h.number.get, flat, repeat(-1)), np.int64, len(flat))
-                before = _before(number, np.fromiter(map(len, each), np.int64, len(each)))
+            _, number, before, _ = reader.read([b.column("text") for b in held])
             contexts = k.contexts(number, before, words)
             last = contexts[-1]
             both = (number >= 0) & (last != NONE)
-            pair, at, n = np.unique(_key(last[both], number[both]), return_index=True, return_counts=True)
-            to = pair if words == 1 else k.route([c[both][at] for c in contexts], number[both][at])
-            rare = (number < 0) & ((last != NONE) | (words == 1))
-            if words > 1:
-                some = np.flatnonzero(rare).tolist()
-                other = np.fromiter((xxhash.xxh64_intdigest(flat[i], 42) for i in some), np.uint64, len(some))
-            else:
-                other = hashes[rare]
+            pair, n = np.unique(_key(last[both], number[both]), return_counts=True)
+            to = k.route(k.suffixes((pair >> np.uint64(BITS)).astype(np.int64), words), (pair & np.uint64(NONE)).astype(np.int64))
+            rare = np.flatnonzero((number < 0) & ((last != NONE) | (words == 1)))
+            other, _ = reader.others(rare)
             (word, state), m = summed((other, last[rare]), np.ones(len(other), np.int64))
             o, at = _runs(part_of(to, parts), parts)
             p, on = _runs(part_of(word, parts), parts)
@@ -460,7 +453,7 @@ def take_up(known: Known, model: DataFrame, head: Head, gain: float) -> None:
     known.grow(head, kinds, total, gain, pairs, n)
 
 
-def ask(docs: DataFrame, head, tree, known, parts: int, id_col: str, text_col: str, tokens_held: int, words: int = 1) -> DataFrame:
+def ask(docs: DataFrame, head, tree, known, parts: int, id_col: str, text_col: str, tokens_held: int, words: int = 1, learned: Column | None = None) -> DataFrame:
     """A LOCAL row for each batch of documents, with what its task can tell, and ASK rows for the parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -469,7 +462,7 @@ def ask(docs: DataFrame, head, tree, known, parts: int, id_col: str, text_col: s
         of_word, base_of = h.root(h.counts), h.base(h.counts)
         batch_id = TaskContext.get().partitionId() << 32
         for held in _gathered(batches, tokens_held):
-            doc, number, before, hashes, spelled, sizes = reader.read([t for b in held for t in texts(b.column("text"))])
+            doc, number, before, sizes = reader.read([b.column("text") for b in held])
             near = number >= 0
             n_known = np.bincount(doc[near], minlength=len(sizes))
             base = np.bincount(doc[near], weights=base_of[number[near]], minlength=len(sizes))
@@ -482,13 +475,15 @@ def ask(docs: DataFrame, head, tree, known, parts: int, id_col: str, text_col: s
             score = np.bincount(doc[alone], weights=of_word[number[alone]], minlength=len(sizes))
             both = np.flatnonzero(near & (state != NONE))
             pair = _key(state[both], number[both])
-            at, hit = _find(k.pairs, pair)
+            at, hit = k.find(pair)
             score += np.bincount(doc[both[hit]], weights=k.worth[at[hit]], minlength=len(sizes))
             pair, both = pair[~hit], both[~hit]
             order = np.argsort(pair, kind="stable")
             pair, both = pair[order], both[order]
             d, to = doc[both], k.route([c[both] for c in contexts], number[both])
-            word, state, of, letters = hashes[~near], state[~near], doc[~near], spelled[~near]
+            rare = np.flatnonzero(~near)
+            word, letters = reader.others(rare, np.concatenate([b.column("learned").to_numpy(zero_copy_only=False) for b in held]))
+            state, of = state[rare], doc[rare]
             order = np.argsort(word, kind="stable")
             word, state, of, letters = word[order], state[order], of[order], letters[order]
             o, at = _runs(part_of(to, parts), parts)
@@ -505,7 +500,8 @@ def ask(docs: DataFrame, head, tree, known, parts: int, id_col: str, text_col: s
             yield _rows(out)
             batch_id += 1
 
-    return take(docs, id_col, text_col).mapInArrow(run, _DDL)
+    learned = F.lit(False) if learned is None else F.coalesce(learned, F.lit(False))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), learned.alias("learned")).mapInArrow(run, _DDL)
 
 
 def answer(asked: DataFrame, model: DataFrame, head, known, parts: int) -> DataFrame:
@@ -585,12 +581,12 @@ def total(answers: DataFrame, train_tokens: int) -> DataFrame:
     return answers.repartition("batch").sortWithinPartitions("batch", F.desc("kind"), "part").mapInArrow(run, ddl)
 
 
-def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 2e-6, gain: float = 12.0, depth: int = 5, least_share: float = 1e-6, parts: int | None = None, tokens_held: int = 700_000, words: int = 1) -> DataFrame:
+def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 2e-6, gain: float = 12.0, depth: int = 5, least_share: float = 1e-6, parts: int | None = None, tokens_held: int = 700_000, words: int = 1, learned: Column | None = None) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for docs, learned from train.
 
     words: of a context, at most.  share: of the training tokens, what makes a word or a pair frequent.  least_share: of all
     bytes of distinct words, what a context and symbol of the byte tree need.  parts: by default
-    the number of shuffle partitions.
+    the number of shuffle partitions.  learned: true for rows of docs that are among train; they have no new words to spell.
     """
     if (words + 1) / share >= NONE:
         raise ValueError("share is too small")
@@ -612,11 +608,12 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
         model = found if model is None else model.unionByName(found)
         if known.first == len(known.counts):  # no longer context is frequent
             break
-    asked = ask(docs, shared, context.broadcast(tree), told, parts, id_col, text_col, tokens_held, length)
+    asked = ask(docs, shared, context.broadcast(tree), told, parts, id_col, text_col, tokens_held, length, learned)
     return total(answer(asked, model, shared, told, parts), head.total)
 
 
 def op9_suffix_tree_lm(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    out = score(docs, docs.filter(~bucket_of_id(F.col("doc_id")).eqNullSafe(1)), words=3)
-    return out.select("doc_id", bucket_of_id(F.col("doc_id")).eqNullSafe(1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    held_out = bucket_of_id(F.col("doc_id")).eqNullSafe(1)
+    out = score(docs, docs.filter(~held_out), words=3, learned=~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -20,12 +20,12 @@ score each; an empty table gives no rows; extra columns are ignored; long texts
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,20 +40,35 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+def split(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """tokens() of many texts (null: none), without the ends: the words one after another, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(pc.ascii_lower(column.cast(pa.string())), ""))
+    words, ends = lists.flatten().cast(pa.binary()), lists.offsets.to_numpy()
+    some = pc.greater(pc.binary_length(words), 0)  # blanks at either end of a text leave an empty word
+    filled = np.concatenate(([0], np.cumsum(some.to_numpy(zero_copy_only=False))))
+    return words.filter(some), np.diff(filled[ends])
+
+
 def count_words(docs: DataFrame, text_col: str = "text", held: int = 300_000) -> DataFrame:
     """(word binary, n): occurrences of every token, summed in each task first."""
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter = Counter()
+        count: list[pa.RecordBatch] = []
+        rows = 0
         for batch in chunked(batches):
-            for t in texts(batch.column("text")):
-                count.update(t.lower().split())
-            count[END] += batch.num_rows
-            if len(count) > held:
-                yield record_batch(schema, {"word": list(count.keys()), "n": list(count.values())})
-                count = Counter()
-        yield record_batch(schema, {"word": list(count.keys()), "n": list(count.values())})
+            words, _ = split(batch.column("text"))
+            found = pc.value_counts(words)
+            count.append(record_batch(schema, {"word": found.field("values"), "n": found.field("counts")}))
+            rows += batch.num_rows
+            if sum(map(len, count)) > held:
+                merged = pa.Table.from_batches(count).group_by("word", use_threads=False).aggregate([("n", "sum")])
+                count = merged.rename_columns({"n_sum": "n"}).cast(schema).to_batches()
+                if merged.num_rows > held // 2:
+                    yield from count
+                    count = []
+        yield from count
+        yield record_batch(schema, {"word": [END] * bool(rows), "n": [rows] * bool(rows)})
 
     rows = docs.select(F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
